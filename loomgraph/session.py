@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +28,23 @@ def get_spark(app: str = "loomgraph", cores: str = "8", partitions: int = 8, mem
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per context, wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_loomgraph_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="loomgraph-ship-")) / "loomgraph.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    sc.addPyFile(str(path))
+    sc._loomgraph_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the test data; the path may be a file or a directory of part files."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
