@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..session import small, table
 from . import canonical
 from . import components as comp
+from . import leakage, mojibake
+from . import packing
 from . import survivors as surv
 
 
@@ -60,8 +62,37 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comp.components(match_links(spark, sf_dir), "a", "b")
 
 
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(p6_containers(spark, sf_dir))
+
+
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "test_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per leaked item the number of documents that hold a passage of it."""
+    return p7_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.repair(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.repair(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_containers": p6_containers, "p6_report": p6_report, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_report": p7_report, "p8_found": p8_found, "p8_restored": p8_restored}
 
 
 def oracle_sql():
