@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import small, table
 from . import canonical
 from . import components as comp
-from . import leakage, mojibake
+from . import entity_match, leakage, mojibake, neighbours
 from . import packing
 from . import survivors as surv
 
@@ -36,6 +36,26 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(found, ["list", "form"]).select("origin", "row_id", "term_id")
 
 
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings_cache"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.pairs(p2_neighbours(spark, sf_dir))
+
+
+def p2_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.recall(table(spark, sf_dir, "embeddings_cache"), p2_neighbours(spark, sf_dir))
+
+
+def p3_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity_match.match(table(spark, sf_dir, "book_source"), table(spark, sf_dir, "book_target"), ("id", "title", "author", "isbn13"), ("id", "title", "author", "isbn"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_matches(spark, sf_dir).select("source_id", "target_id").distinct()
+
+
 def single_valued_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims of triplets about properties with a maximal cardinality of 1."""
     terms = table(spark, sf_dir, "ontology_terms").where("max_cardinality = 1").select(F.col("uri").alias("property"), surv.kind_of(F.col("label")).alias("kind"))
@@ -92,7 +112,7 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_containers": p6_containers, "p6_report": p6_report, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_report": p7_report, "p8_found": p8_found, "p8_restored": p8_restored}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p2_recall": p2_recall, "p3_found": p3_found, "p3_matches": p3_matches, "p4_found": p4_found, "p5_found": p5_found, "p6_containers": p6_containers, "p6_report": p6_report, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_report": p7_report, "p8_found": p8_found, "p8_restored": p8_restored}
 
 
 def oracle_sql():
