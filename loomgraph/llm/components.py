@@ -56,15 +56,17 @@ def components(links: DataFrame, left: str, right: str, beta: float = BETA, max_
     for level in range(MAX_LEVELS):
         if not edges.take(1):
             break
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        both = both.repartition("a")
+        # Every node also sends to itself at no cost, so a hop is one join and one aggregate, and the plan grows by that.
+        node = edges.select(F.explode(F.array("a", "b")).alias("a")).distinct()
+        both = edges.select("a", "b", F.lit(1.0).alias("hop")).union(edges.select("b", "a", F.lit(1.0))).union(node.select("a", "a", F.lit(0.0)))
+        both = scratch.keep(both)
         # the shift comes from a hash of node and level, so a task that runs again draws the same one
         unit = (F.pmod(F.xxhash64("v", F.lit(seed + level)), F.lit(1 << 40)) + F.lit(1.0)) / F.lit(float((1 << 40) + 1))
         shift = F.least(-F.log(unit) / F.lit(beta), F.lit(float(max_shift)))
-        state = both.select(F.col("a").alias("v")).distinct().select("v", F.struct((F.lit(float(max_shift)) - shift).alias("t"), F.col("v").alias("c")).alias("best"))
+        state = both.where("hop = 0").select(F.col("a").alias("v")).select("v", F.struct((F.lit(float(max_shift)) - shift).alias("t"), F.col("v").alias("c")).alias("best"))
         for _ in range(max_shift):
-            sent = both.join(state, F.col("a") == F.col("v")).select(F.col("b").alias("v"), F.struct((F.col("best.t") + 1.0).alias("t"), F.col("best.c").alias("c")).alias("best"))
-            state = state.unionByName(sent).groupBy("v").agg(F.min("best").alias("best"))
+            sent = both.join(state, F.col("a") == F.col("v")).select(F.col("b").alias("v"), F.struct((F.col("best.t") + F.col("hop")).alias("t"), F.col("best.c").alias("c")).alias("best"))
+            state = sent.groupBy("v").agg(F.min("best").alias("best"))
         own = scratch.keep(state.select("v", F.col("best.c").alias("c")))
         levels.append(own)
         side = lambda x: own.select(F.col("v").alias(x), F.col("c").alias(f"{x}c"))
@@ -76,6 +78,7 @@ def components(links: DataFrame, left: str, right: str, beta: float = BETA, max_
             .distinct()
         )
         scratch.drop(edges)
+        scratch.drop(both)
         edges = nxt
     else:
         raise RuntimeError(f"edges are left after {MAX_LEVELS} levels")
