@@ -52,7 +52,7 @@ def attributes(df: DataFrame, id_: str, title: str, author: str, isbn: str) -> D
     main = F.regexp_replace(main, r"(?:\s*[:;]|\s[–-]\s|, or ).*$", "")
     main = F.regexp_replace(F.trim(main), r"^(.*), (the|a|an)$", "$2 $1")
     plain = F.trim(F.regexp_replace(fold(repaired(main, [c.lower() for c in MARKED])), r"[^\p{L}\p{N}]+", " "))
-    plain = F.regexp_replace(plain, r"^(?:the|a|an) ", "")
+    plain = F.regexp_replace(plain, r"^(?:the|a|an|teh|hte|th|te|he|thee|tthe|thhe|t\p{L}e|th\p{L}|\p{L}he) ", "")  # an article, or one slip away from it
     words = F.filter(F.split(plain, " "), lambda w: (F.length(w) > 0) & ~w.isin(*STOP))
 
     a = F.regexp_replace(F.coalesce(F.col(author).cast("string"), F.lit("")), r"\(author\)|\bet al\.?|[;*]", " ")
@@ -65,7 +65,9 @@ def attributes(df: DataFrame, id_: str, title: str, author: str, isbn: str) -> D
     sur = F.coalesce(F.trim(F.regexp_replace(fold(comma), r"[^\p{L}]+", "")), F.try_element_at(long, F.lit(-1)), F.try_element_at(parts, F.lit(-1)))
     ini = F.substring(F.try_element_at(F.filter(parts, lambda w: w != sur), F.lit(1)), 1, 1)
     known = ~only.isin(*NO_AUTHOR)
-    digits = F.upper(F.regexp_replace(F.coalesce(F.col(isbn).cast("string"), F.lit("")), r"[^0-9xX]", ""))
+    # letters that stand for digits in scanned numbers
+    written = F.translate(F.regexp_replace(F.coalesce(F.col(isbn).cast("string"), F.lit("")), r"(?i)isbn(?:-?1[03])?:?", ""), "OoIl", "0011")
+    digits = F.upper(F.regexp_replace(written, r"[^0-9xX]", ""))
     stated = ~digits.isin(*NO_ISBN) & ~F.col(isbn).cast("string").rlike(r"[eE]\+")
     code = F.when(stated & (F.length(digits) == 13), F.substring(digits, 4, 9)).when(stated & (F.length(digits) == 10), F.substring(digits, 1, 9))
     out = df.where(F.col(id_).isNotNull()).select(F.col(id_).cast("string").alias("id"), F.nullif(plain, F.lit("")).alias("t"), words.alias("words"), vol.alias("vol"), F.when(known, sur).alias("sur"), F.when(known, ini).alias("ini"), code.alias("code"))
