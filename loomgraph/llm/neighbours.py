@@ -27,10 +27,11 @@ DIM = 64
 K = 5
 SHARD = 4000
 PROBES = 4
-DEGREE = 24
+DEGREE = 32
 BEAM = 48
-ALPHA = 1.2
+ALPHA = 1.1
 EXPAND = 4
+ENTRIES = 256
 CHUNK = 8000
 SAMPLE = 20_000  # points that the centroids are fitted on
 MAX_SHARDS = 4096
@@ -56,7 +57,7 @@ class Graph:
         self.x = np.ascontiguousarray(x, np.float32)
         self.n, self.degree, self.beam, self.alpha = len(x), degree, beam, alpha
         rng = np.random.default_rng(7)
-        self.entries = rng.permutation(self.n)[: max(1, min(self.n, 64))]
+        self.entries = rng.permutation(self.n)[: max(1, min(self.n, ENTRIES))]
         self.adj = np.full((self.n, degree), -1, np.int32) if adj is None else adj
         if adj is None:
             self._build(rng.permutation(self.n))
