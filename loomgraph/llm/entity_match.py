@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from ..session import Scratch
 from .canonical import fold, repaired
 
-ROWS, BANDS = 4, 14
-TITLE_ROWS, TITLE_BANDS = 5, 12
+ROWS, BANDS = 6, 40
+TITLE_ROWS, TITLE_BANDS = 6, 24
 TRAIN = 40_000
 THRESHOLD = 0.5
 
