@@ -83,13 +83,16 @@ def components(links: DataFrame, left: str, right: str, beta: float = BETA, max_
     else:
         raise RuntimeError(f"edges are left after {MAX_LEVELS} levels")
 
+    # Each level is composed and written before the next one, so plans stay short and the driver's memory flat.
     root = None
     for own in reversed(levels):
         if root is None:
             root = own.select("v", F.col("c").alias("r"))
-        else:
-            up = root.select(F.col("v").alias("c"), F.col("r").alias("up"))
-            root = own.join(up, "c", "left").select("v", F.coalesce("up", "c").alias("r"))
+            continue
+        up = root.select(F.col("v").alias("c"), F.col("r").alias("up"))
+        composed = scratch.keep(own.join(up, "c", "left").select("v", F.coalesce("up", "c").alias("r")))
+        scratch.drop(root)
+        root = composed
     if root is None:
         root = named.select("v", F.col("v").alias("r"))
     member = scratch.keep(root.join(named, "v").select("r", F.col("record").alias("record_id")))
