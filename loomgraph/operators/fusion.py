@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..model import LABEL, OWL, SAME_AS, TYPE, Ontology, as_graph, is_iri
-from ..session import small
+from ..session import Scratch, small
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -58,8 +58,10 @@ def select_first_value(source: DataFrame, target: DataFrame, o: Ontology) -> dic
     value for it, with the least object; any other triple is added if it is new.
     """
     allowed = o.properties.select(F.col("uri").alias("p")).union(o.properties.sparkSession.createDataFrame([(LABEL,), (TYPE,)], "p string")).distinct()
-    src = as_graph(source.join(F.broadcast(allowed), "p", "left_semi"))
-    tgt = as_graph(target)
+    # both sides are read several times below: written once, with lineage cut
+    scratch = Scratch(source.sparkSession, "fusion")
+    src = scratch.keep(as_graph(source.join(F.broadcast(allowed), "p", "left_semi")))
+    tgt = scratch.keep(as_graph(target))
     one = F.broadcast(fusable(o))
     single = src.join(one, "p", "left_semi").join(tgt.select("s", "p").distinct(), ["s", "p"], "left_anti")
     single = single.withColumn("_r", F.row_number().over(W.partitionBy("s", "p").orderBy("o", "k", "dt", "lang"))).where("_r = 1").drop("_r")

@@ -162,27 +162,35 @@ def kg_without_vocabulary(spark, d):
     return TripleFrame(graph(spark, d)).without_vocabulary().groupBy("p").agg(F.count("*").alias("n"))
 
 
-def _half(spark, d, rest: str) -> DataFrame:
-    return graph(spark, d).where(F.col("s").startswith(RES + "customer/") & F.expr(rest))
+def _customers(spark, d, condition: str) -> DataFrame:
+    """The part of the graph about the customers that meet a condition on their row."""
+    c = table(spark, d, "customer").where(condition).select(F.concat(F.lit(RES + "customer/"), F.col("c_custkey").cast("string")).alias("s"))
+    return graph(spark, d).join(c, "s", "left_semi")
 
 
-_A, _B = "CAST(regexp_extract(s, '([0-9]+)$', 1) AS INT) % 2 = 0", "CAST(regexp_extract(s, '([0-9]+)$', 1) AS INT) % 3 = 0"
-HALVES = f"WITH {KG_SQL}, a AS (SELECT * FROM kg WHERE starts_with(s, '{RES}customer/') AND {_A}), b AS (SELECT * FROM kg WHERE starts_with(s, '{RES}customer/') AND {_B}) "
+_A, _B = "c_acctbal >= 0", "c_mktsegment <> 'BUILDING'"
+
+
+def _part(condition: str) -> str:
+    return f"SELECT * FROM kg WHERE s IN (SELECT '{RES}customer/' || CAST(c_custkey AS VARCHAR) FROM customer WHERE {condition})"
+
+
+HALVES = f"WITH {KG_SQL}, a AS ({_part(_A)}), b AS ({_part(_B)}) "
 
 
 @query(HALVES + "SELECT COUNT(*) AS n, COUNT(DISTINCT s) AS subjects FROM (SELECT * FROM a UNION SELECT * FROM b)")
 def kg_union(spark, d):
-    return fusion.union(_half(spark, d, _A), _half(spark, d, _B)).agg(F.count("*").alias("n"), F.count_distinct("s").alias("subjects"))
+    return fusion.union(_customers(spark, d, _A), _customers(spark, d, _B)).agg(F.count("*").alias("n"), F.count_distinct("s").alias("subjects"))
 
 
 @query(HALVES + "SELECT s, p, o FROM a WHERE (s, p, o) NOT IN (SELECT s, p, o FROM b)")
 def kg_subtract(spark, d):
-    return TripleFrame(_half(spark, d, _A)).subtract(TripleFrame(_half(spark, d, _B))).triples.select("s", "p", "o")
+    return TripleFrame(_customers(spark, d, _A)).subtract(TripleFrame(_customers(spark, d, _B))).triples.select("s", "p", "o")
 
 
 @query(HALVES + "SELECT s, p, o FROM a INTERSECT SELECT s, p, o FROM b")
 def kg_intersect(spark, d):
-    return TripleFrame(_half(spark, d, _A)).intersect(TripleFrame(_half(spark, d, _B))).triples.select("s", "p", "o")
+    return TripleFrame(_customers(spark, d, _A)).intersect(TripleFrame(_customers(spark, d, _B))).triples.select("s", "p", "o")
 
 
 @query("""WITH d AS (SELECT DISTINCT COALESCE(graph, 'none') AS sp, subject AS e FROM triplets), n AS (SELECT sp, COUNT(*) AS n FROM d GROUP BY sp)
@@ -462,10 +470,13 @@ def emb_label_index(spark, d):
 
 
 def _verified(spark, d):
-    return table(spark, d, "customer").where("c_custkey % 4 = 0").select(F.concat(F.lit(RES + "customer/"), F.when(F.col("c_custkey") % 8 == 0, F.col("c_custkey")).otherwise(-F.col("c_custkey")).cast("string")).alias("uri"), F.when(F.col("c_custkey") % 12 == 0, F.lower("c_name")).otherwise(F.col("c_name")).alias("label"))
+    """Customers as expected entities: those of one segment under another uri, those in debt with another spelling of the label."""
+    c = table(spark, d, "customer")
+    key = F.when(F.col("c_mktsegment") == "MACHINERY", -F.col("c_custkey")).otherwise(F.col("c_custkey"))
+    return c.select(F.concat(F.lit(RES + "customer/"), key.cast("string")).alias("uri"), F.when(F.col("c_acctbal") < 0, F.lower("c_name")).otherwise(F.col("c_name")).alias("label"))
 
 
-VERIFIED = f"v AS (SELECT '{RES}customer/' || CAST(CASE WHEN c_custkey % 8 = 0 THEN c_custkey ELSE -c_custkey END AS VARCHAR) AS uri, CASE WHEN c_custkey % 12 = 0 THEN lower(c_name) ELSE c_name END AS label FROM customer WHERE c_custkey % 4 = 0)"
+VERIFIED = f"v AS (SELECT '{RES}customer/' || CAST(CASE WHEN c_mktsegment = 'MACHINERY' THEN -c_custkey ELSE c_custkey END AS VARCHAR) AS uri, CASE WHEN c_acctbal < 0 THEN lower(c_name) ELSE c_name END AS label FROM customer)"
 
 
 @query(f"WITH {KG_SQL}, {VERIFIED} SELECT overlap, expected, ROUND(LEAST(overlap / expected, 1.0), 6) AS coverage FROM (SELECT COUNT(DISTINCT uri) AS overlap FROM v WHERE uri IN (SELECT s FROM kg) OR label IN (SELECT o FROM kg WHERE p = '{LABEL}')), (SELECT COUNT(DISTINCT uri) AS expected FROM v)")
@@ -478,27 +489,26 @@ def src_coverage_soft(spark, d):
     return reference.source_coverage_soft(graph(spark, d), _verified(spark, d))
 
 
-@query("""WITH ref AS (SELECT p_name AS label, MIN(p_partkey) AS ref FROM part WHERE p_partkey % 2 = 0 GROUP BY p_name), h AS (SELECT row_number() OVER (PARTITION BY ref ORDER BY p_partkey) AS r FROM part JOIN ref ON p_name = label)
+@query("""WITH ref AS (SELECT p_name AS label, MIN(p_partkey) AS ref FROM part WHERE p_size <= 25 GROUP BY p_name), h AS (SELECT row_number() OVER (PARTITION BY ref ORDER BY p_partkey) AS r FROM part JOIN ref ON p_name = label)
 SELECT COUNT(*) AS found, COUNT(*) FILTER (r > 1) AS duplicates, ROUND((COUNT(*) - COUNT(*) FILTER (r > 1)) / COUNT(*), 6) AS precision FROM h""")
 def src_precision(spark, d):
     p = table(spark, d, "part")
-    return reference.source_precision(p.select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("label")), p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("uri"), F.col("p_name").alias("label")))
+    return reference.source_precision(p.select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("label")), p.where("p_size <= 25").select(F.col("p_partkey").alias("uri"), F.col("p_name").alias("label")))
 
 
 def _confusion(a: str, b: str, cols: str) -> str:
     return f"SELECT tp, fp, fn, ROUND(COALESCE(tp / NULLIF(tp + fp, 0), 0), 6) AS precision, ROUND(COALESCE(tp / NULLIF(tp + fn, 0), 0), 6) AS recall, ROUND(COALESCE(2 * tp / NULLIF(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM (SELECT (SELECT COUNT(*) FROM (SELECT {cols} FROM {a} INTERSECT SELECT {cols} FROM {b})) AS tp, (SELECT COUNT(*) FROM (SELECT {cols} FROM {a} EXCEPT SELECT {cols} FROM {b})) AS fp, (SELECT COUNT(*) FROM (SELECT {cols} FROM {b} EXCEPT SELECT {cols} FROM {a})) AS fn)"
 
 
-@query(HALVES + f", x AS (SELECT s, MIN(o) AS label FROM a WHERE p = '{LABEL}' GROUP BY s), y AS (SELECT s, MIN(o) AS type FROM a WHERE p = '{TYPE}' GROUP BY s), g AS (SELECT label, type FROM x JOIN y ON x.s = y.s), e AS (SELECT c_name AS label, '{NS}Customer' AS type FROM customer WHERE c_custkey % 3 = 0) " + _confusion("g", "e", "label, type"))
+@query(HALVES + f", x AS (SELECT s, MIN(o) AS label FROM a WHERE p = '{LABEL}' GROUP BY s), y AS (SELECT s, MIN(o) AS type FROM a WHERE p = '{TYPE}' GROUP BY s), g AS (SELECT label, type FROM x JOIN y ON x.s = y.s), e AS (SELECT c_name AS label, '{NS}Customer' AS type FROM customer WHERE c_nationkey < 20) " + _confusion("g", "e", "label, type"))
 def src_typed_coverage(spark, d):
-    e = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_name").alias("label"), F.lit(NS + "Customer").alias("type"))
-    return reference.typed_coverage(_half(spark, d, _A), e)
+    e = table(spark, d, "customer").where("c_nationkey < 20").select(F.col("c_name").alias("label"), F.lit(NS + "Customer").alias("type"))
+    return reference.typed_coverage(_customers(spark, d, _A), e)
 
 
-@query(HALVES + ", sd AS (SELECT * FROM b WHERE CAST(regexp_extract(s, '([0-9]+)$', 1) AS INT) % 5 = 0), x AS (SELECT s, p, o FROM a EXCEPT SELECT s, p, o FROM sd), y AS (SELECT s, p, o FROM b EXCEPT SELECT s, p, o FROM sd) " + _confusion("x", "y", "s, p, o"))
+@query(HALVES + f", sd AS ({_part('c_nationkey < 5')}), x AS (SELECT s, p, o FROM a EXCEPT SELECT s, p, o FROM sd), y AS (SELECT s, p, o FROM b EXCEPT SELECT s, p, o FROM sd) " + _confusion("x", "y", "s, p, o"))
 def ref_alignment(spark, d):
-    b = _half(spark, d, _B)
-    return reference.triple_alignment(_half(spark, d, _A), b, b.where("CAST(regexp_extract(s, '([0-9]+)$', 1) AS INT) % 5 = 0"))
+    return reference.triple_alignment(_customers(spark, d, _A), _customers(spark, d, _B), _customers(spark, d, "c_nationkey < 5"))
 
 
 def _supplier_graphs(spark, d):
@@ -541,16 +551,12 @@ def ref_proxy_quality(spark, d):
 
 
 def _fuse_sides(spark, d):
-    """Source: customers by another namespace with an own balance for every third; target: even customers without balance."""
-    t = graph(spark, d).where(F.col("s").startswith(RES + "customer/"))
-    n = F.regexp_extract("s", "([0-9]+)$", 1).cast("int")
-    src = t.where(n % 3 == 0).withColumn("o", F.when(F.col("p") == NS + "c_mktsegment", F.lit("SOURCE")).otherwise(F.col("o")))
-    tgt = t.where((n % 2 == 0) & (F.col("p") != NS + "c_cents"))
-    return src, tgt
+    """Source: the solvent customers with a segment of their own; target: the customers outside BUILDING, without balances."""
+    src = _customers(spark, d, _A).withColumn("o", F.when(F.col("p") == NS + "c_mktsegment", F.lit("SOURCE")).otherwise(F.col("o")))
+    return src, _customers(spark, d, _B).where(F.col("p") != NS + "c_cents")
 
 
-_N = "CAST(regexp_extract(s, '([0-9]+)$', 1) AS INT)"
-SIDES = f"WITH {KG_SQL}, {ONTO_SQL}, c AS (SELECT * FROM kg WHERE starts_with(s, '{RES}customer/')), src AS (SELECT s, p, CASE WHEN p = '{NS}c_mktsegment' THEN 'SOURCE' ELSE o END AS o, k, dt FROM c WHERE {_N} % 3 = 0), tgt AS (SELECT * FROM c WHERE {_N} % 2 = 0 AND p <> '{NS}c_cents') "
+SIDES = f"WITH {KG_SQL}, {ONTO_SQL}, src AS (SELECT s, p, CASE WHEN p = '{NS}c_mktsegment' THEN 'SOURCE' ELSE o END AS o, k, dt FROM ({_part(_A)}) x), tgt AS (SELECT * FROM ({_part(_B)}) x WHERE p <> '{NS}c_cents') "
 _FIRST = f""", one AS (SELECT uri AS p FROM prop WHERE max_card = 1 UNION SELECT '{LABEL}' UNION SELECT '{TYPE}'), allowed AS (SELECT uri AS p FROM prop UNION SELECT '{LABEL}' UNION SELECT '{TYPE}'),
 sel AS (SELECT s, p, MIN(o) AS o FROM src WHERE p IN (SELECT p FROM one) AND (s, p) NOT IN (SELECT s, p FROM tgt) GROUP BY s, p UNION SELECT s, p, o FROM src WHERE p IN (SELECT p FROM allowed) AND p NOT IN (SELECT p FROM one) AND (s, p, o) NOT IN (SELECT s, p, o FROM tgt)) """
 
@@ -675,12 +681,12 @@ def te_chains(spark, d):
     return linking.apply_chains(t, c).select("triple_id", "subject", "object")
 
 
-@query("""WITH w AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS doc, uri AS e FROM falcon_links WHERE link_type = 'entity' AND uri IS NOT NULL AND link_id % 3 <> 0), g AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS doc, uri AS e FROM falcon_links WHERE link_type = 'entity' AND uri IS NOT NULL AND link_id % 2 = 0)
+@query("""WITH w AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS doc, uri AS e FROM falcon_links WHERE link_type = 'entity' AND uri IS NOT NULL AND surface_form IS NOT NULL), g AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS doc, uri AS e FROM falcon_links WHERE link_type = 'entity' AND uri IS NOT NULL AND (surface_form IS NULL OR length(surface_form) > 12))
 SELECT f AS "false", h AS hits, n - h AS missing, ROUND(h / n, 6) AS score FROM (SELECT (SELECT COUNT(*) FROM (SELECT * FROM g EXCEPT SELECT * FROM w)) AS f, (SELECT COUNT(*) FROM (SELECT * FROM g INTERSECT SELECT * FROM w)) AS h, (SELECT COUNT(*) FROM w) AS n)""")
 def te_link_eval(spark, d):
     l_ = table(spark, d, "falcon_links").where("link_type = 'entity' AND uri IS NOT NULL")
-    got = l_.where("link_id % 2 = 0").select("doc_id", F.col("uri").alias("mapping"), "link_type")
-    return reference.link_evaluation(got, l_.where("link_id % 3 <> 0").select("doc_id", F.col("uri").alias("entity_id")))
+    got = l_.where("surface_form IS NULL OR length(surface_form) > 12").select("doc_id", F.col("uri").alias("mapping"), "link_type")
+    return reference.link_evaluation(got, l_.where("surface_form IS NOT NULL").select("doc_id", F.col("uri").alias("entity_id")))
 
 
 @query("SELECT ROUND(COUNT(*) FILTER (subject.surface_form IS NOT NULL AND predicate.surface_form IS NOT NULL AND object.surface_form IS NOT NULL) / COUNT(*), 6) AS complete, CAST(1.0 AS DOUBLE) AS mean_score FROM te_triples")
