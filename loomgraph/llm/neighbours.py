@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..session import Scratch
+from ..session import Scratch, small
 
 DIM = 64
 K = 5
@@ -29,6 +29,7 @@ SHARD = 4000
 PROBES = 4
 DEGREE = 32
 BEAM = 48
+SEARCH_BEAM = 72
 ALPHA = 1.1
 EXPAND = 4
 ENTRIES = 256
@@ -254,10 +255,9 @@ def nearest(vectors: DataFrame, key: str = "vec_id", value: str = "value", k: in
     visits = with_parts(placed.select("u", "v", F.explode("near").alias("s"))).where("parts > 0")
     visits = visits.select("u", "v", "s", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"))
     visits = scratch.keep(visits)
-    load = {(r["s"], r["p"]): r["c"] for r in visits.groupBy("s", "p").agg(F.count("*").alias("c")).collect()}
-    chunks = spark.createDataFrame([(s, p, c) for (s, p), m in load.items() for c in [max(1, -(-m // CHUNK))]], "s int, p int, chunks int")
-    copies = graphs.join(F.broadcast(chunks), ["s", "p"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
-    asked = visits.join(F.broadcast(chunks), ["s", "p"]).withColumn("chunk", F.pmod(F.xxhash64("u"), F.col("chunks")).cast("int")).drop("chunks")
+    chunks = small(scratch.keep(visits.groupBy("s", "p").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))))
+    copies = graphs.join(chunks, ["s", "p"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    asked = visits.join(chunks, ["s", "p"]).withColumn("chunk", F.pmod(F.xxhash64("u"), F.col("chunks")).cast("int")).drop("chunks")
     most = k + 1
 
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -272,7 +272,7 @@ def nearest(vectors: DataFrame, key: str = "vec_id", value: str = "value", k: in
         for a in range(0, len(right), 512):
             q = unit(np.stack(right["v"].iloc[a : a + 512].to_list()))
             u = right["u"].iloc[a : a + 512].to_numpy()
-            got, _ = graph.search(q.astype(np.float32), BEAM)
+            got, _ = graph.search(q.astype(np.float32), SEARCH_BEAM)
             got = got[:, : most + 2]
             sim = np.einsum("bkd,bd->bk", exact[np.maximum(got, 0)], q)
             ok = got >= 0
