@@ -23,7 +23,7 @@ from ..session import Scratch
 
 CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-PARTS = 64
+PARTS = 64  # parts of a length that are ranked on their own, at least
 
 # Fixed value: the split pattern that belongs to the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -92,7 +92,8 @@ def pack(pieces: DataFrame, key: list[str], length: str, capacity: int = CAPACIT
     """
     spark = pieces.sparkSession
     scratch = Scratch(spark, "packing")
-    part = F.pmod(F.xxhash64(*key), F.lit(PARTS)).cast("int")
+    parts = max(PARTS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    part = F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int")
     base = scratch.keep(pieces.select(*key, F.col(length).cast("int").alias("_n"), part.alias("_part")))
     counted = base.groupBy("_n", "_part").count()
     offsets = counted.withColumn("_before", F.sum("count").over(W.partitionBy("_n").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)))
@@ -110,7 +111,7 @@ def pack(pieces: DataFrame, key: list[str], length: str, capacity: int = CAPACIT
             ranges.append((n, start, given[n], copies, first_bin))
         first_bin += times
     # Rows with a rank are cut into blocks of ranks, so that the join with the planned ranges is on (length, block).
-    block = max(1, -(-max(hist.values(), default=1) // 4096))
+    block = max(1, sum(hist.values()) // 16_384)
     rows = [(n, b, lo, hi, c, bin0) for n, lo, hi, c, bin0 in ranges for b in range(lo // block, (hi - 1) // block + 1)]
     slots = spark.createDataFrame(rows, "_n int, _block long, _lo long, _hi long, _copies long, _bin long")
     inside = F.row_number().over(W.partitionBy("_n", "_part").orderBy(*key)) - 1
