@@ -113,5 +113,48 @@ def queries():
     return {"p1_found": p1_found, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p2_recall": p2_recall, "p3_found": p3_found, "p3_matches": p3_matches, "p4_found": p4_found, "p5_found": p5_found, "p6_containers": p6_containers, "p6_report": p6_report, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_report": p7_report, "p8_found": p8_found, "p8_restored": p8_restored}
 
 
+_PLAIN = "lower(regexp_extract({c}, '^[A-Za-z]+://[^/]*')) || substr({c}, length(regexp_extract({c}, '^[A-Za-z]+://[^/]*')) + 1)"
+_TRIM = "trim({c}, ' <>' || chr(9) || chr(10) || chr(34))"
+
+P5_SQL = f"""WITH RECURSIVE l AS (SELECT {_TRIM.format(c="id_1")} AS a, {_TRIM.format(c="id_2")} AS b FROM er_matches WHERE id_type = 'entity' AND score >= 0.5 AND NOT isnan(score)
+  UNION SELECT {_TRIM.format(c="left_id")}, {_TRIM.format(c="right_id")} FROM verified_matches),
+p AS (SELECT {_PLAIN.format(c="a")} AS a, {_PLAIN.format(c="b")} AS b FROM l WHERE a <> '' AND b <> ''), e AS (SELECT a, b FROM p WHERE a <> b UNION SELECT b, a FROM p WHERE a <> b),
+r AS (SELECT DISTINCT a AS x, a AS y FROM e UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a) SELECT x AS record_id, MIN(y) AS group_id FROM r GROUP BY x"""
+
+
+def _list(words) -> str:
+    return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
+
+
+_MONTH = "list_position([" + ", ".join(f"'{m}'" for m in surv.MONTHS) + "], regexp_extract(l, '^(?:[0-9]{1,2}[.]? )?([a-z]+) [0-9]{4}$', 1))"
+
+P4_SQL = f"""WITH t AS (SELECT subject, predicate, object, triplet_id, CASE WHEN score IS NULL OR isnan(score) OR score < 0 THEN -1 WHEN score > 1 THEN score / 100 ELSE score END AS trust, extracted_at AS seen,
+  CASE {" ".join(f"WHEN lower(label) IN {_list(labels)} THEN '{kind}'" for kind, labels in surv.KINDS.items())} ELSE 'text' END AS kind, trim(regexp_replace(object, '[\\s\\p{{Z}}\\p{{Cf}}]+', ' ', 'g')) AS v
+  FROM triplets JOIN ontology_terms ON predicate = uri WHERE max_cardinality = 1),
+n AS (SELECT subject, predicate FROM t GROUP BY 1, 2 HAVING COUNT(*) > 1),
+k AS (SELECT DISTINCT subject, predicate, object, kind, v, lower(v) AS l FROM t WHERE v IS NOT NULL AND lower(v) NOT IN {_list(surv.NO_VALUE)} AND NOT regexp_matches(v, '^[�?.\\s]*$')),
+d0 AS (SELECT *, CASE WHEN kind = 'date' THEN {_MONTH} END AS mo FROM k),
+d1 AS (SELECT *, CASE WHEN kind = 'date' THEN coalesce(try_cast(nullif(regexp_extract(l, '^([0-9]{{4}})(-[0-9]{{2}}){{0,2}}$', 1), '') AS INT), try_cast(nullif(regexp_extract(l, '^[0-9]{{1,2}}[.][0-9]{{1,2}}[.]([0-9]{{4}})$', 1), '') AS INT), CASE WHEN mo > 0 THEN try_cast(regexp_extract(l, '([0-9]{{4}})$', 1) AS INT) END) END AS y,
+  CASE WHEN kind = 'date' THEN coalesce(try_cast(nullif(regexp_extract(l, '^[0-9]{{4}}-([0-9]{{2}})', 1), '') AS INT), try_cast(nullif(regexp_extract(l, '^[0-9]{{1,2}}[.]([0-9]{{1,2}})[.][0-9]{{4}}$', 1), '') AS INT), CASE WHEN mo > 0 THEN mo END) END AS m,
+  CASE WHEN kind = 'date' THEN coalesce(try_cast(nullif(regexp_extract(l, '^[0-9]{{4}}-[0-9]{{2}}-([0-9]{{2}})$', 1), '') AS INT), try_cast(nullif(regexp_extract(l, '^([0-9]{{1,2}})[.][0-9]{{1,2}}[.][0-9]{{4}}$', 1), '') AS INT), CASE WHEN mo > 0 THEN try_cast(nullif(regexp_extract(l, '^([0-9]{{1,2}})[.]? [a-z]+ [0-9]{{4}}$', 1), '') AS INT) END) END AS d FROM d0),
+u AS (SELECT *, rtrim(regexp_replace(v, '\\s*(\\[\\s*([.]{{3}}|…)\\s*\\]|[.]{{3}}|…)\\s*$', '')) AS form FROM d1 WHERE CASE WHEN kind = 'date' THEN y BETWEEN 1 AND 2999 AND try_cast(printf('%04d-%02d-%02d', y, coalesce(m, 1), coalesce(d, 1)) AS DATE) IS NOT NULL
+  WHEN kind = 'number' THEN regexp_matches(v, '^[+]?([0-9]+|[0-9]{{1,3}}([,. ][0-9]{{3}})+)([.,][0-9]+)?$') ELSE TRUE END),
+w AS (SELECT *, trim(CASE WHEN contains(form, ',') THEN split_part(form, ',', 1) ELSE string_split(form, ' ')[-1] END) AS sur, trim(CASE WHEN contains(form, ',') THEN string_split(form, ',')[-1] ELSE left(form, length(form) - length(string_split(form, ' ')[-1])) END) AS giv FROM u),
+x AS (SELECT *, left(giv, 1) AS ini, regexp_matches(giv, '^\\p{{L}}[.]?( ?\\p{{L}}[.])*$') AS short FROM w),
+gone AS (SELECT DISTINCT a.subject, a.predicate, a.object FROM x a JOIN x b ON a.subject = b.subject AND a.predicate = b.predicate AND a.object <> b.object WHERE
+  a.kind = 'date' AND a.y = b.y AND (a.m IS NULL AND b.m IS NOT NULL OR a.m = b.m AND a.d IS NULL AND b.d IS NOT NULL)
+  OR a.kind = 'person' AND a.sur = b.sur AND a.ini = b.ini AND a.sur <> '' AND a.ini <> '' AND a.short AND NOT b.short
+  OR a.kind IN ('text', 'person') AND a.form <> '' AND starts_with(b.form, a.form) AND (a.form <> b.form OR a.v <> a.form AND b.v = b.form))
+SELECT subject, predicate, triplet_id FROM (SELECT t.subject, t.predicate, t.triplet_id, row_number() OVER (PARTITION BY t.subject, t.predicate ORDER BY trust DESC, seen DESC NULLS LAST, triplet_id) AS r
+  FROM t SEMI JOIN n USING (subject, predicate) SEMI JOIN x USING (subject, predicate, object) ANTI JOIN gone USING (subject, predicate, object)) WHERE r = 1"""
+
+_NORM = "list_transform(CAST(value AS DOUBLE[]), lambda x: x / sqrt(list_sum(list_transform(CAST(value AS DOUBLE[]), lambda y: y * y))))"
+
+P2_SQL = f"""WITH v AS (SELECT vec_id, {_NORM} AS u FROM embeddings_cache WHERE len(value) = 64 AND len(list_filter(value, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(value, lambda x: x <> 0)) > 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, ROUND(list_dot_product(a.u, b.u), 9) AS sim FROM v a, v b WHERE a.vec_id <> b.vec_id),
+r AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS r FROM s) WHERE r <= 5)
+SELECT DISTINCT least(a, b) AS vec_id_1, greatest(a, b) AS vec_id_2 FROM r"""
+
+
 def oracle_sql():
-    return {}
+    return {"p2_found": P2_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL}
