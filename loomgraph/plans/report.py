@@ -149,6 +149,22 @@ def sample_by_class(members: DataFrame, cls: str, key: str, total: int) -> DataF
     return r.join(F.broadcast(q), cls).where("_r <= quota").drop("_r", "quota")
 
 
+def closed_sample(t: DataFrame, per_predicate: int, type_p: str, label_p: str) -> DataFrame:
+    """A small subgraph with at least `per_predicate` triples of every predicate that has them, few entities and no loose ends.
+
+    Subjects that have many predicates come first, so one subject serves several of them; every entity in the sample
+    keeps its types and labels, and IRI objects that would be left without either are kept out.
+    """
+    described = t.where(F.col("p").isin(type_p, label_p)).select(F.col("s").alias("o")).distinct()
+    usable = t.where(F.col("k") != "iri").unionByName(t.where((F.col("k") == "iri") & (F.col("p") == type_p))).unionByName(t.where((F.col("k") == "iri") & (F.col("p") != type_p)).join(described, "o", "left_semi").select(*t.columns))
+    reach = usable.groupBy("s").agg(F.count_distinct("p").alias("_reach"))
+    ranked = usable.join(reach, "s").withColumn("_r", F.row_number().over(W.partitionBy("p").orderBy(F.desc("_reach"), "s", "o")))
+    picked = ranked.where(F.col("_r") <= per_predicate).select(*t.columns)
+    ends = picked.select(F.explode(F.when((F.col("k") == "iri") & (F.col("p") != type_p), F.array("s", "o")).otherwise(F.array("s"))).alias("s")).distinct()
+    extra = t.where(F.col("p").isin(type_p, label_p)).join(ends, "s", "left_semi").select(*t.columns)
+    return picked.unionByName(extra).dropDuplicates()
+
+
 def to_text(df: DataFrame, style: str = "markdown") -> str:
     """A small report as markdown, csv, html or aligned text."""
     rows = [[("" if v is None else str(v)) for v in r] for r in df.collect()]

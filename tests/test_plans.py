@@ -140,3 +140,40 @@ def test_streaming(spark, tmp_path):
     q = ingest.fuse_stream(stream(), lambda: spark.createDataFrame([("z", "p", "z")], "s string, p string, o string"), lambda b, t: b.select("s", "p", "o").union(t).distinct(), lambda g, n: kept.update({n: g.count()}), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert list(kept.values()) == [3]
+
+
+def test_configurations(tmp_path):
+    from loomgraph.plans import config
+
+    text = json.dumps({"vars": {"root": "data"}, "defaults": {"threshold": 0.5, "opt": {"a": 1}}, "metrics": {"m": {"ref_path": "$root/x.nt", "opt": {"b": "${root}"}}, "n": None}})
+    got = config.metric_configs(text, str(tmp_path), {"root": "other"})
+    assert got["m"] == {"threshold": 0.5, "opt": {"a": 1, "b": "other"}, "ref_path": str((tmp_path / "other/x.nt").resolve())} and got["n"] == {"threshold": 0.5, "opt": {"a": 1}}
+    with pytest.raises(KeyError):
+        config.interpolate("$nope", {})
+    assert config.catalogue(json.dumps({"p": {"tasks": ["a"]}}))["p"]["tasks"] == ["a"]
+    with pytest.raises(ValueError):
+        config.catalogue(json.dumps({"p": {}}))
+    assert config.template({"m": [Parameter("t", "number", 0.5)]})["metrics"] == {"m": {"t": 0.5}}
+
+
+def test_closed_sample(spark):
+    rows = [(f"s{i}", p, f"v{i}", "literal") for i in range(9) for p in ("p", "q")] + [(f"s{i}", "link", f"s{i + 1}", "iri") for i in range(8)] + [("s0", "link", "nowhere", "iri")]
+    rows += [(f"s{i}", "type", "C", "iri") for i in range(9)] + [(f"s{i}", "label", f"S{i}", "literal") for i in range(9)]
+    t = spark.createDataFrame(rows, "s string, p string, o string, k string")
+    got = report.closed_sample(t, 3, "type", "label").collect()
+    assert all(sum(r.p == p for r in got) >= 3 for p in ("p", "q", "link", "type", "label"))
+    known = {r.s for r in got if r.p == "label"}
+    assert all(r.o in known for r in got if r.p == "link") and "nowhere" not in {r.o for r in got} and len({r.s for r in got}) < 9
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from loomgraph.cli import main
+
+    assert main(["list"], {"b": None, "a": None}) == 0 and capsys.readouterr().out == "a\nb\n"
+    q = {"one": lambda s, d: s.range(1)}
+    assert main(["run", "one", "d", "--out", str(tmp_path / "o")], q, spark) == 0 and spark.read.parquet(str(tmp_path / "o")).count() == 1
+    assert main(["show", "one", "d"], q, spark) == 0 and main(["run", "two", "d"], q, spark) == 2
+    (tmp_path / "g.nt").write_text('<http://e/a> <http://e/p> "x" .\n')
+    capsys.readouterr()
+    assert main(["count", str(tmp_path / "g.nt"), "--style", "csv"], {}, spark) == 0 and "triples,1" in capsys.readouterr().out
+    assert main(["convert", str(tmp_path / "g.nt"), str(tmp_path / "c"), "--to", "csv"], {}, spark) == 0
