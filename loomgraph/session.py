@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -34,7 +36,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_loomgraph_shipped", False):
         return
     here = Path(__file__).resolve().parent
-    path = Path(tempfile.mkdtemp(prefix="loomgraph-ship-")) / "loomgraph.zip"
+    folder = tempfile.mkdtemp(prefix="loomgraph-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder) / "loomgraph.zip"
     with zipfile.ZipFile(path, "w") as z:
         for f in sorted(here.rglob("*.py")):
             z.write(f, f.relative_to(here.parent))
@@ -53,6 +57,7 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="loomgraph-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
