@@ -28,7 +28,7 @@ from ..session import Scratch, small
 
 #: Edits up to which candidates are looked for, by length of the entry: (up to this length, edits).
 EDITS = ((3, 0), (5, 2), (9, 3), (10_000, 4))
-ISOLATION = 6
+ISOLATION = 5
 
 # Additions around a value that do not change what it means.
 LEADING = ("the", "its", "was", "has", "whose", "dbx", "onto", "is", "in", "a", "an")
