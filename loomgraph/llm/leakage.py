@@ -136,8 +136,8 @@ class Index:
         return np.repeat(at, n), self.owner[rows], self.pos[rows]
 
 
-def aligned(doc: np.ndarray, item: np.ndarray, word: np.ndarray, offset: int, band: int, run: int = RUN) -> Iterator[np.ndarray]:
-    """Characters of the item that are covered by a chain of equal runs around the diagonal `offset`, best chains first."""
+def aligned(doc: np.ndarray, item: np.ndarray, word: np.ndarray, offset: int, band: int, run: int = RUN) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Characters of the item that are covered by a chain of equal runs around the diagonal `offset`, and their diagonals; best chains first."""
     n, width = len(item), 2 * band + 1
     # row d holds the comparison of the item with the document shifted by offset - band + d
     shifted = np.full(n + 2 * band, 254, np.uint8)
@@ -175,49 +175,65 @@ def aligned(doc: np.ndarray, item: np.ndarray, word: np.ndarray, offset: int, ba
     for j in sorted(range(len(runs)), key=lambda j: -score[j])[:6]:
         if used[j]:
             continue
-        covered = np.zeros(n, bool)
+        covered, diagonal = np.zeros(n, bool), np.zeros(n, np.int64)
         i = j
         while i >= 0:
             used[i] = True
             covered[runs[i][0] : runs[i][0] + runs[i][2]] = True
+            diagonal[runs[i][0] : runs[i][0] + runs[i][2]] = runs[i][1]
             i = back[i]
-        yield covered
+        yield covered, diagonal
+
+
+def replaced(present: np.ndarray, covered: np.ndarray, diagonal: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Words in whose place the document has others: absent ones between present ones, at least half of their letters being made up for."""
+    out = np.zeros(len(present), bool)
+    begin = np.cumsum(total) - total
+    known = np.flatnonzero(present)
+    for a, b in zip(known[:-1], known[1:]):
+        if b - a > 1:
+            left, right = np.flatnonzero(covered[begin[a] : begin[a] + total[a]])[-1] + begin[a], np.flatnonzero(covered[begin[b] : begin[b] + total[b]])[0] + begin[b]
+            letters = begin[b] - begin[a + 1]
+            out[a + 1 : b] = 2 * (letters + diagonal[right] - diagonal[left]) >= letters
+    return out
 
 
 def passage(doc: np.ndarray, item: np.ndarray, word: np.ndarray, rare: np.ndarray, offset: int, band: int, min_words: int = WORDS) -> int:
     """Longest stretch of item words that `doc` holds around the diagonal `offset` (document minus item position)."""
     total = np.bincount(word - word[0])
     best = 0
-    for covered in aligned(doc, item, word, offset, band):
-        got = np.bincount(word - word[0], weights=covered)
-        best = max(best, longest((got >= 0.6 * total).tolist(), rare.tolist()))
+    for covered, diagonal in aligned(doc, item, word, offset, band):
+        present = np.bincount(word - word[0], weights=covered) >= 0.6 * total
+        best = max(best, longest(present.tolist(), rare.tolist(), replaced(present, covered, diagonal, total).tolist(), min_words))
         if best >= min_words:
             break
     return best
 
 
-def longest(present: list[bool], rare: list[bool], absent: float = ABSENT, sure: int = SURE_RUN) -> int:
+def longest(present: list[bool], rare: list[bool], changed: list[bool], min_words: int = WORDS, absent: float = ABSENT, sure: int = SURE_RUN) -> int:
     """Length of the longest stretch that begins and ends with a present word, with at most that share absent, no three in a row.
 
-    Set phrases meet by chance around one other word. A stretch counts only if it has a run of `sure` present words or
-    holds a word that few items have.
+    Set phrases of several items meet by chance, the words between them being left out. A stretch whose absent words
+    are all `changed` into others counts, as does one with `min_words` present words; where words are left out and fewer
+    are present, it needs a run of `sure` present words or a word that few items have.
     """
     best = 0
     n = len(present)
     for i in range(n):
         if not present[i] or (i and present[i - 1] and best >= n - i):
             continue
-        missing = row = run = 0
+        missing = row = run = left_out = 0
         good = False
         for j in range(i, n):
             if present[j]:
                 row = 0
                 run += 1
                 good = good or run >= sure or rare[j]
-                if good and missing <= absent * (j - i + 1):
+                if missing <= absent * (j - i + 1) and (good or not left_out or j - i + 1 - missing >= min_words):
                     best = max(best, j - i + 1)
             else:
                 missing += 1
+                left_out += not changed[j]
                 row += 1
                 run = 0
                 if row >= 3:

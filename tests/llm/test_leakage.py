@@ -47,6 +47,16 @@ def test_altered_passages():
     assert hits([around(v, 100 + 3 * i) for i, v in enumerate(variants)]) == {(i, 3) for i in range(len(variants))}
 
 
+def test_changed_words_in_a_passage_of_common_words():
+    rng = random.Random(6)
+    few = [w for w in WORDS if len(w) > 5][:40]
+    items = [(i, " ".join(rng.choice(few) for _ in range(90))) for i in range(8)]
+    p = items[4][1].split()[30:42]
+    changed = " ".join("xxqxxq" if i in (4, 8) else x for i, x in enumerate(p))
+    left_out = " ".join(x for i, x in enumerate(p) if i not in (4, 8))
+    assert hits([around(changed), around(left_out)], items) == {(0, 4)}
+
+
 def test_standing_instruction_does_not_count():
     line = "Read the passage below and then answer the question that follows it in one short sentence of your own."
     items = [(i, f"{line}\n{t}") for i, t in ITEMS]
