@@ -2,10 +2,11 @@
 
 Texts are reduced to a stream of plain letters and digits (no case, marks, blanks, markup or line breaks), so layout and
 hyphenation leave no trace. One edit destroys at most q of the q-grams that two streams share, so a passage with r
-telling q-grams and e edits still shares r - q*e of them on nearby diagonals (position in the document minus position in
-the item). Telling q-grams are those of at most `common` items: set phrases of many items would make candidates of
-everything and can't tell items apart. Bands of diagonals overlap by half, so a passage whose diagonal drifts is whole
-in one of them. Regions with at least `least` shared q-grams are kept.
+q-grams and e edits still shares r - q*e of them on nearby diagonals (position in the document minus position in the
+item). Bands of diagonals overlap by half, so a passage whose diagonal drifts is whole in one of them. Regions are kept
+by either of two counts: `least` telling q-grams, which are those of at most `common` items, so that few of them
+suffice; or, whatever items share them, as many of every `STRIDE`th q-gram of the item as the least of the runs of
+SURE_RUN words around has. The second count needs no telling q-gram at all, so passages that several items share are found.
 
 Verification aligns the region: runs of equal characters on the diagonals of the band are chained in order of both
 texts, a word of the item counts as present if most of its letters are covered, and the passage is the longest stretch
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 Q = 8
 LEAST = 8
 COMMON = 2
+STRIDE = 3
 BAND = 32
 WORDS = 12
 ABSENT = 0.2
@@ -94,26 +96,26 @@ def own_texts(items: list[tuple[int, str]], shared: int = 3) -> list[tuple[int,
     return [(i, "\n".join(x for x in t.split("\n") if lines[" ".join(x.split()).lower()] < shared)) for i, t in items]
 
 
-class Index:
-    """q-gram table of a block of items."""
+def run_grams(word: np.ndarray, q: int = Q, stride: int = STRIDE, run: int = SURE_RUN) -> np.ndarray:
+    """Per q-gram position of an item: how many of every `stride`th q-gram lie in a run of `run` words around it, at least."""
+    n = len(word) - q + 1
+    if n < 1:
+        return np.zeros(0, np.int32)
+    begin = np.concatenate([[0], np.cumsum(np.bincount(word))])
+    before = np.concatenate([[0], np.cumsum(np.arange(n) % stride == 0)])  # sampled q-grams that start before a position
+    out = np.full(len(begin) - 1, n, np.int32)
+    for a in range(max(1, len(out) - run + 1)):
+        b = min(a + run, len(out))
+        out[a:b] = np.minimum(out[a:b], before[np.clip(begin[b] - q + 1, 0, n)] - before[min(begin[a], n)])
+    return np.maximum(out, 1)[word[:n]]
 
-    def __init__(self, items: list[tuple[int, str]], q: int = Q, common: int = COMMON):
-        self.q = q
-        self.ids = np.array([i for i, _ in items], np.int64)
-        self.texts = [words_of(t) for _, t in items]
-        names = [re.findall(rb"[a-z0-9]+", plain(t).lower()) for _, t in items]
-        held_by = Counter(w for ws in names for w in set(ws))
-        self.rare = [np.array([len(w) >= 4 and held_by[w] <= common for w in ws], bool) for ws in names]
-        every = [grams(c, q) for c, _ in self.texts]
-        owner = np.concatenate([np.full(len(g), k, np.int32) for k, g in enumerate(every)] or [np.zeros(0, np.int32)])
-        pos = np.concatenate([np.arange(len(g), dtype=np.int32) for g in every] or [np.zeros(0, np.int32)])
-        gram = np.concatenate(every or [np.zeros(0, np.int64)])
-        order = np.argsort(gram, kind="stable")
-        gram, owner, pos = gram[order], owner[order], pos[order]
-        pairs = np.unique(np.stack([gram, owner.astype(np.int64)], 1), axis=0) if len(gram) else np.zeros((0, 2), np.int64)
-        distinct, held = np.unique(pairs[:, 0], return_counts=True)
-        telling = np.isin(gram, distinct[held <= common])
-        gram, self.owner, self.pos = gram[telling], owner[telling], pos[telling]
+
+class Grams:
+    """Places of q-grams in the items."""
+
+    def __init__(self, gram: np.ndarray, owner: np.ndarray, pos: np.ndarray):
+        """The rows are in order of `gram`."""
+        self.owner, self.pos = owner, pos
         self.gram, self.first, self.count = np.unique(gram, return_index=True, return_counts=True)
         self.bits = np.zeros(1 << 22, np.bool_)
         self.bits[self._slot(self.gram)] = True
@@ -122,9 +124,8 @@ class Index:
     def _slot(g: np.ndarray) -> np.ndarray:
         return ((g.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).view(np.int64)
 
-    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position in `codes`, item, position in the item) of every telling q-gram."""
-        g = grams(codes, self.q)
+    def hits(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position in `g`, item, position in the item) of every q-gram that is held."""
         at = np.flatnonzero(self.bits[self._slot(g)])
         g = g[at]
         k = np.searchsorted(self.gram, g)
@@ -136,6 +137,36 @@ class Index:
         return np.repeat(at, n), self.owner[rows], self.pos[rows]
 
 
+class Index:
+    """q-gram tables of a block of items: the telling ones, and every `STRIDE`th one whoever shares it."""
+
+    def __init__(self, items: list[tuple[int, str]], q: int = Q, common: int = COMMON):
+        self.q = q
+        self.ids = np.array([i for i, _ in items], np.int64)
+        self.texts = [words_of(t) for _, t in items]
+        names = [re.findall(rb"[a-z0-9]+", plain(t).lower()) for _, t in items]
+        held_by = Counter(w for ws in names for w in set(ws))
+        self.rare = [np.array([len(w) >= 4 and held_by[w] <= common for w in ws], bool) for ws in names]
+        every = [grams(c, q) for c, _ in self.texts]
+        owner = np.concatenate([np.full(len(g), k, np.int32) for k, g in enumerate(every)] or [np.zeros(0, np.int32)])
+        pos = np.concatenate([np.arange(len(g), dtype=np.int32) for g in every] or [np.zeros(0, np.int32)])
+        gram = np.concatenate(every or [np.zeros(0, np.int64)])
+        runs = [run_grams(w, q) for _, w in self.texts]
+        self.start = np.cumsum([0, *(len(x) for x in runs)])
+        self.run = np.concatenate(runs or [np.zeros(0, np.int32)])
+        order = np.argsort(gram, kind="stable")
+        gram, owner, pos = gram[order], owner[order], pos[order]
+        pairs = np.unique(np.stack([gram, owner.astype(np.int64)], 1), axis=0) if len(gram) else np.zeros((0, 2), np.int64)
+        distinct, held = np.unique(pairs[:, 0], return_counts=True)
+        telling = np.isin(gram, distinct[held <= common])
+        self.tells = [np.zeros(len(g), bool) for g in every]
+        for k, x in zip(owner[telling], pos[telling]):
+            self.tells[k][x] = True
+        self.telling = Grams(gram[telling], owner[telling], pos[telling])
+        sampled = pos % STRIDE == 0
+        self.sampled = Grams(gram[sampled], owner[sampled], pos[sampled])
+
+
 def aligned(doc: np.ndarray, item: np.ndarray, word: np.ndarray, offset: int, band: int, run: int = RUN) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Characters of the item that are covered by a chain of equal runs around the diagonal `offset`, and their diagonals; best chains first."""
     n, width = len(item), 2 * band + 1
@@ -198,24 +229,53 @@ def replaced(present: np.ndarray, covered: np.ndarray, diagonal: np.ndarray, tot
     return out
 
 
-def passage(doc: np.ndarray, item: np.ndarray, word: np.ndarray, rare: np.ndarray, offset: int, band: int, min_words: int = WORDS) -> int:
+def short_words(present: np.ndarray, doc: np.ndarray, item: np.ndarray, covered: np.ndarray, diagonal: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """`present` with the words of under RUN letters that stand between changed words, where the document has the same letters."""
+    known = np.flatnonzero(present)
+    if not len(known):
+        return present
+    out, begin = present.copy(), np.cumsum(total) - total
+    text = doc.tobytes()
+    for a, b in zip([None, *known], [*known, None]):
+        words = range(a + 1, b) if a is not None and b is not None else range(a + 1, min(a + 3, len(present))) if b is None else range(b - 1, max(b - 3, -1), -1)
+        short = [w for w in words if total[w] < RUN]
+        if not short:
+            continue
+        near = int(total[list(words)].sum()) + RUN
+        lo = int((x := np.flatnonzero(covered[: begin[a] + total[a]])[-1]) + diagonal[x] + 1) if a is not None else None
+        hi = int((x := np.flatnonzero(covered[begin[b] :])[0] + begin[b]) + diagonal[x]) if b is not None else None
+        lo, hi = max(0, hi - near if lo is None else lo), lo + near if hi is None else hi
+        for w in short:
+            letters = item[begin[w] : begin[w] + total[w]].tobytes()
+            at = text.find(letters, lo, max(lo, hi)) if a is not None else text.rfind(letters, lo, max(lo, hi))
+            if at >= 0:
+                out[w] = True
+                lo, hi = (at + len(letters), hi) if a is not None else (lo, at)
+    return out
+
+
+def passage(doc: np.ndarray, item: np.ndarray, word: np.ndarray, rare: np.ndarray, telling: np.ndarray, offset: int, band: int, min_words: int = WORDS) -> int:
     """Longest stretch of item words that `doc` holds around the diagonal `offset` (document minus item position)."""
     total = np.bincount(word - word[0])
     best = 0
     for covered, diagonal in aligned(doc, item, word, offset, band):
         present = np.bincount(word - word[0], weights=covered) >= 0.6 * total
-        best = max(best, longest(present.tolist(), rare.tolist(), replaced(present, covered, diagonal, total).tolist(), min_words))
+        changed = replaced(present, covered, diagonal, total)
+        whole = np.lib.stride_tricks.sliding_window_view(covered, Q).all(axis=1) if len(covered) >= Q else np.zeros(0, bool)
+        own = np.bincount((word - word[0])[: len(whole)], weights=whole & telling[: len(whole)], minlength=len(total)).astype(int)
+        present = short_words(present, doc, item, covered, diagonal, total)
+        best = max(best, longest(present.tolist(), rare.tolist(), changed.tolist(), own.tolist(), min_words))
         if best >= min_words:
             break
     return best
 
 
-def longest(present: list[bool], rare: list[bool], changed: list[bool], min_words: int = WORDS, absent: float = ABSENT, sure: int = SURE_RUN) -> int:
+def longest(present: list[bool], rare: list[bool], changed: list[bool], own: list[int], min_words: int = WORDS, absent: float = ABSENT, sure: int = SURE_RUN, least: int = LEAST) -> int:
     """Length of the longest stretch that begins and ends with a present word, with at most that share absent, no three in a row.
 
-    Set phrases of several items meet by chance, the words between them being left out. A stretch whose absent words
-    are all `changed` into others counts, as does one with `min_words` present words; where words are left out and fewer
-    are present, it needs a run of `sure` present words or a word that few items have.
+    Set phrases of several items meet by chance. A stretch with a run of `sure` present words or a word that few items
+    have counts. Any other must hold `least` telling q-grams (`own`: how many start in each word), and its absent words
+    must be `changed` into others, not left out, unless `min_words` words are present.
     """
     best = 0
     n = len(present)
@@ -223,13 +283,13 @@ def longest(present: list[bool], rare: list[bool], changed: list[bool], min_word
         if not present[i] or (i and present[i - 1] and best >= n - i):
             continue
         missing = row = run = left_out = 0
-        good = False
+        good, telling = False, 0
         for j in range(i, n):
             if present[j]:
                 row = 0
                 run += 1
                 good = good or run >= sure or rare[j]
-                if missing <= absent * (j - i + 1) and (good or not left_out or j - i + 1 - missing >= min_words):
+                if missing <= absent * (j - i + 1) and (good or telling >= least and (not left_out or j - i + 1 - missing >= min_words)):
                     best = max(best, j - i + 1)
             else:
                 missing += 1
@@ -238,40 +298,57 @@ def longest(present: list[bool], rare: list[bool], changed: list[bool], min_word
                 run = 0
                 if row >= 3:
                     break
+            telling += own[j]
     return best
 
 
-def find(texts: list[str | None], index: Index, least: int = LEAST, band: int = BAND, min_words: int = WORDS) -> list[tuple[int, int, int]]:
-    """(number of the text, item id, words of the longest passage) for texts that hold a passage of an item."""
-    streams = [stream(t) if t else np.zeros(0, np.uint8) for t in texts]
-    gap = np.full(1, 36, np.uint8)
-    begin = np.cumsum([0, *(len(s) + 1 for s in streams)])
-    whole = np.concatenate([x for s in streams for x in (s, gap)]) if streams else np.zeros(0, np.uint8)
-    at, item, pos = index.hits(whole)
+def dense_regions(at: np.ndarray, item: np.ndarray, pos: np.ndarray, begin: np.ndarray, index: Index, band: int, need: int | np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(pair of text and item, first and last position in the item, diagonal) where a band holds `need` q-grams within REACH characters of the item.
+
+    `need` is one number or has one for each q-gram position of the items.
+    """
+    out = []
     if not len(at):
-        return []
+        return out
     doc = np.searchsorted(begin, at, side="right") - 1
     diag = at - begin[doc] - pos
-    found: dict[tuple[int, int], int] = {}
     pair = doc.astype(np.int64) * len(index.ids) + item
-    regions = []
+    least = np.full(len(at), need) if isinstance(need, int) else need[index.start[item] + pos]
     for shift in (0, band // 2):
         b = (diag + shift) // band
-        order = np.lexsort((pos, b, pair))
+        # bands with too few q-grams are dropped before sorting; bands that share a slot only keep more
+        slot = (pair * 1009 + b) & ((1 << 20) - 1)
+        order = np.flatnonzero(np.bincount(slot, minlength=1 << 20)[slot] >= least)
+        order = order[np.lexsort((pos[order], b[order], pair[order]))]
         p, k, w = pos[order], pair[order], b[order]
-        # a region holds `least` shared q-grams of one band within `REACH` characters of the item
-        first, last = slice(0, len(p) - least + 1), slice(least - 1, None)
-        dense = np.flatnonzero((k[first] == k[last]) & (w[first] == w[last]) & (p[last] - p[first] <= REACH)) if len(p) >= least else np.zeros(0, np.int64)
+        end = np.arange(len(p)) + least[order] - 1
+        last = np.minimum(end, len(p) - 1)
+        dense = np.flatnonzero((end < len(p)) & (k == k[last]) & (w == w[last]) & (p[last] - p <= REACH))
         if not len(dense):
             continue
         # overlapping windows of one band count as one region
+        reach = np.maximum.accumulate(last[dense])
         new = np.ones(len(dense), bool)
-        new[1:] = (k[dense[1:]] != k[dense[:-1]]) | (w[dense[1:]] != w[dense[:-1]]) | (p[dense[1:]] > p[dense[:-1] + least - 1])
+        new[1:] = (k[dense[1:]] != k[dense[:-1]]) | (w[dense[1:]] != w[dense[:-1]]) | (p[dense[1:]] > p[reach[:-1]])
         starts = np.flatnonzero(new)
         ends = np.append(starts[1:], len(dense)) - 1
-        for x, y in zip(dense[starts], dense[ends] + least):
+        for x, y in zip(dense[starts], reach[ends] + 1):
             rows = order[x:y]
-            regions.append((int(k[x]), int(p[x]), int(p[y - 1]), int(np.median(diag[rows]))))
+            out.append((int(k[x]), int(p[x]), int(p[y - 1]), int(np.median(diag[rows]))))
+    return out
+
+
+def find(texts: list[str | None], index: Index, least: int = LEAST, band: int = BAND, min_words: int = WORDS) -> list[tuple[int, int, int]]:
+    """(number of the text, item id, words of the longest passage) for texts that hold a passage of an item."""
+    streams = [stream(t) if t else np.zeros(0, np.uint8) for t in texts]
+    gap = np.full(1, 36, np.uint8)
+    begin = np.cumsum([0, *(len(s) + 1 for s in streams)])
+    whole = np.concatenate([x for s in streams for x in (s, gap)]) if streams else np.zeros(0, np.uint8)
+    g = grams(whole, index.q)
+    regions = []
+    for held, need in ((index.telling, least), (index.sampled, index.run)):
+        regions += dense_regions(*held.hits(g), begin, index, band, need)
+    found: dict[tuple[int, int], int] = {}
     seen: set[tuple[int, int, int]] = set()
     for key, p0, p1, middle in sorted(regions, key=lambda r: (r[0], r[1] - r[2])):
         d, i = divmod(key, len(index.ids))
@@ -285,7 +362,7 @@ def find(texts: list[str | None], index: Index, least: int = LEAST, band: int =
         hi = int(np.searchsorted(word, word[hi - 1], side="right"))
         s0 = max(0, lo + middle - band)
         part = streams[d][s0 : hi + middle + band]
-        words = passage(part, codes[lo:hi], word[lo:hi], index.rare[i][word[lo] : word[hi - 1] + 1], middle + lo - s0, band // 2, min_words)
+        words = passage(part, codes[lo:hi], word[lo:hi], index.rare[i][word[lo] : word[hi - 1] + 1], index.tells[i][lo:hi], middle + lo - s0, band // 2, min_words)
         if words > found.get((d, i), 0):
             found[(d, i)] = words
     return [(d, int(index.ids[i]), w) for (d, i), w in found.items() if w >= min_words]

@@ -57,6 +57,18 @@ def test_changed_words_in_a_passage_of_common_words():
     assert hits([around(changed), around(left_out)], items) == {(0, 4)}
 
 
+def test_passage_that_several_items_share():
+    shared = text(30, 4_000)
+    items = [(i, f"{text(40, 200 + i)} {shared if i < 4 else text(30, 300 + i)} {text(20, 400 + i)}") for i in range(8)]
+    assert hits([around(" ".join(shared.split()[8:22]))], items) == {(0, i) for i in range(4)}
+
+
+def test_short_words_between_changed_words():
+    rng = random.Random(8)
+    items = [(i, " ".join(rng.choice(WORDS) for _ in range(40)) + " camera of the sunken harbour la vista brave teacher inherits walls and orchards " + text(30, 600 + i)) for i in range(2)]
+    assert hits([around("camera of the sunken xxqxxq la yyqyyq brave teacher inherits walls and orchards")], items) == {(0, 0), (0, 1)}
+
+
 def test_standing_instruction_does_not_count():
     line = "Read the passage below and then answer the question that follows it in one short sentence of your own."
     items = [(i, f"{line}\n{t}") for i, t in ITEMS]
