@@ -1,4 +1,5 @@
-"""Mapping free-entered values to a canonical list by a partition-based (pigeonhole) similarity join, in SQL functions only.
+"""Mapping free-entered values to a canonical list by a partition-based (pigeonhole) similarity join, in SQL functions
+but for the counting of slips in pairs far apart.
 
 1. Values are reduced to their distinct forms per list before anything else, so a value that a third of all rows share
    is handled once.
@@ -9,7 +10,8 @@
    that is within k edits shares a segment at a position that is shifted by less than the edits left over for it. The
    join is an equality join on (list, entry length, segment number, segment text).
 4. Candidates are verified with the built-in levenshtein. A swap of neighbours costs two there but is one slip, so the
-   slips are estimated as b + ceil((d - b) / 2), b being the letters that the two strings do not have in common.
+   slips are estimated as b + ceil((d - b) / 2), b being the letters that the two strings do not have in common. Beyond
+   SURE edits the estimate is only a bound, and the slips of what passes it are counted in Arrow batches.
 5. Forms without a match come out of an anti-join.
 
 An entry accepts 0 slips up to 3 letters, 1 up to 5, 2 up to 9, and 3 beyond; from 10 to 13 letters
@@ -20,14 +22,18 @@ with the least raw distance, then to the smaller term_id.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch, small
 
-#: Edits up to which candidates are looked for, by length of the entry: (up to this length, edits).
-EDITS = ((3, 0), (5, 2), (9, 3), (10_000, 4))
+#: Edits up to which candidates are looked for, by length of the entry: (up to this length, edits). Twice the slips that
+#: are accepted, as a swap of neighbours is one slip and two edits.
+EDITS = ((3, 0), (5, 2), (9, 4), (10_000, 6))
+SURE = ((9, 3), (10_000, 4))  # edits up to which slips are estimated, by length of the entry; beyond, where letters may have moved further, they are counted
 ISOLATION = 5
 
 # Additions around a value that do not change what it means.
@@ -160,6 +166,27 @@ def _shared(a: str, b: str) -> str:
     return f"aggregate(array_distinct(split({b}, '')), 0, (acc, ch) -> acc + IF(ch = '', 0, least({count(a)}, {count(b)})))"
 
 
+def slips_between(a: str, b: str) -> int:
+    """Edits of which a swap of neighbours is one (optimal string alignment)."""
+    before, row = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            least = min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                least = min(least, before[j - 2] + 1)
+            new.append(least)
+        before, row = row, new
+    return row[-1]
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs with the slips of those beyond SURE edits counted instead of estimated."""
+    for pdf in batches:
+        far = [slips_between(x, r) if d > next(k for upto, k in SURE if len(r) <= upto) else s for x, r, d, s in zip(pdf["x"], pdf["ref"], pdf["d"], pdf["slips"])]
+        yield pdf.assign(slips=pd.Series(far, index=pdf.index, dtype="int32"))
+
+
 def map_to_canonical(forms: DataFrame, terms: DataFrame, isolation: int = ISOLATION) -> DataFrame:
     """(list, form, term_id) for every distinct (list, form) of `forms`; term_id 0 where the list has no entry for it.
 
@@ -201,9 +228,10 @@ def map_to_canonical(forms: DataFrame, terms: DataFrame, isolation: int = ISOLAT
         .withColumn("slips", F.expr("CAST(b + ceil((d - b) / 2.0) AS INT)"))
         .join(small(crowded), ["list", "ref"], "left")
         .withColumn("n", F.length("ref"))
-        .where("slips <= CASE WHEN n <= 3 THEN 0 WHEN n <= 5 THEN 1 WHEN n <= 9 OR (crowded AND n < 14) THEN 2 ELSE 3 END")
-        .select("list", "x", "ref", "slips")
+        .select("list", "x", "ref", "d", "slips", F.expr("CASE WHEN n <= 3 THEN 0 WHEN n <= 5 THEN 1 WHEN n <= 9 OR (crowded AND n < 14) THEN 2 ELSE 3 END").alias("most"))
+        .where("slips <= most")
     )
+    fuzzy = fuzzy.mapInPandas(_counted, fuzzy.schema).where("slips <= most").select("list", "x", "ref", "slips")
     fuzzy = rest.join(fuzzy, ["list", "x"]).select("list", "form", "ref", "slips")
     best = (
         exact.unionByName(fuzzy)

@@ -66,3 +66,10 @@ def test_ties_go_to_the_smaller_term(spark):
     t = spark.createDataFrame([("l", 8, "abcdefgh"), ("l", 7, "abcdefgi")], "list string, term_id long, label string")
     f = spark.createDataFrame([("l", "abcdefgx")], "list string, form string")
     assert map_to_canonical(f, t).first().term_id == 7
+
+
+def test_swaps_cost_one_slip_each(spark):
+    t = spark.createDataFrame([("l", 1, "composer"), ("l", 2, "production budget"), ("l", 3, "Bovatelu Books")], "list string, term_id long, label string")
+    forms = ["comopsre", "productino bigdet", "rpoduciton budgte", "Botelva Koobs"]
+    f = spark.createDataFrame([("l", x) for x in forms], "list string, form string")
+    assert {r.form: r.term_id for r in map_to_canonical(f, t).collect()} == {"comopsre": 1, "productino bigdet": 2, "rpoduciton budgte": 2, "Botelva Koobs": 0}
