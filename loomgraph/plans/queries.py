@@ -511,27 +511,28 @@ def ref_alignment(spark, d):
     return reference.triple_alignment(_customers(spark, d, _A), _customers(spark, d, _B), _customers(spark, d, "c_nationkey < 5"))
 
 
-def _supplier_graphs(spark, d):
-    t = graph(spark, d).where(F.col("s").startswith(RES + "supplier/"))
-    moved = t.withColumn("s", F.replace("s", F.lit("/supplier/"), F.lit("/other/")))
-    return moved, t
+def _moved_graphs(spark, d):
+    """The whole derived graph with all its entities under other IRIs, and as it is."""
+    t = graph(spark, d)
+    moved = lambda c: F.when(F.col(c).startswith(RES), F.concat(F.lit(RES + "moved/"), F.substring(c, len(RES) + 1, 1_000_000))).otherwise(F.col(c))
+    return t.withColumn("s", moved("s")).withColumn("o", F.when(F.col("k") == "iri", moved("o")).otherwise(F.col("o"))), t
 
 
 @query()
 def ref_alignment_soft(spark, d):
-    moved, t = _supplier_graphs(spark, d)
+    moved, t = _moved_graphs(spark, d)
     return reference.triple_alignment_soft(moved, t)
 
 
 @query()
 def ref_alignment_values(spark, d):
-    moved, t = _supplier_graphs(spark, d)
+    moved, t = _moved_graphs(spark, d)
     return reference.triple_alignment_values(moved, t)
 
 
 @query()
 def ref_entity_alignment(spark, d):
-    moved, t = _supplier_graphs(spark, d)
+    moved, t = _moved_graphs(spark, d)
     return reference.entity_alignment(moved, t, "intersecting_type")
 
 
