@@ -59,21 +59,26 @@ def is_match(pairs: DataFrame, components: DataFrame, a: str = "a", b: str = "b"
     return out.withColumn("matched", same | F.coalesce(F.col("_ca") == F.col("_cb"), F.lit(False))).drop("_ca", "_cb")
 
 
-def greedy_matching(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
+def greedy_matching(pairs: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """One-to-one subset of (id_1, id_2, score): what taking pairs by descending score would choose.
 
     Ties go to the smaller ids. A pair that ranks first for both of its ends is in the result whatever else there is; its
-    ends are removed and the rest is ranked again, until nothing is left.
+    ends are removed and the rest is ranked again, until nothing is left. The best pair of all is taken in every round, so
+    that ends; with `max_rounds`, pairs left after so many rounds are an error.
     """
     scratch = Scratch(pairs.sparkSession, "greedy")
     left = scratch.keep(pairs.where("id_1 IS NOT NULL AND id_2 IS NOT NULL AND score IS NOT NULL").groupBy("id_1", "id_2").agg(F.max("score").alias("score")))
     chosen = None
     order = [F.desc("score"), F.asc("id_1"), F.asc("id_2")]
-    for _ in range(max_rounds):
+    rounds = 0
+    while True:
         ranked = left.withColumn("r1", F.row_number().over(W.partitionBy("id_1").orderBy(*order))).withColumn("r2", F.row_number().over(W.partitionBy("id_2").orderBy(*order)))
         take = scratch.keep(ranked.where("r1 = 1 AND r2 = 1").select("id_1", "id_2", "score"))
         if not take.take(1):
             break
+        if rounds == max_rounds:
+            raise RuntimeError(f"greedy matching has pairs left after {max_rounds} rounds")
+        rounds += 1
         chosen = take if chosen is None else chosen.unionByName(take)
         nxt = scratch.keep(left.join(take.select("id_1"), "id_1", "left_anti").join(take.select("id_2"), "id_2", "left_anti"))
         scratch.drop(left)

@@ -94,6 +94,14 @@ def test_greedy_matching_equals_sequential(spark):
     assert {(r.id_1, r.id_2) for r in cluster.greedy_matching(df).collect()} == want
 
 
+def test_greedy_matching_leaves_no_pair_of_a_chain(spark):
+    chain = [(f"a{i // 2 + i % 2:03}", f"b{i // 2:03}", 1.0) for i in range(8)]
+    df = spark.createDataFrame(chain, "id_1 string, id_2 string, score double")
+    assert {(r.id_1, r.id_2) for r in cluster.greedy_matching(df).collect()} == {(f"a{i:03}", f"b{i:03}") for i in range(4)}
+    with pytest.raises(RuntimeError):
+        cluster.greedy_matching(df, max_rounds=2)
+
+
 def test_set_cover_and_agglomeration(spark):
     df = spark.createDataFrame([("d1", "a"), ("d1", "b"), ("d2", "b"), ("d3", "c"), ("d4", "c")], "doc string, path string")
     assert [(r.doc, r.new_paths) for r in cluster.set_cover(df).orderBy("step").collect()] == [("d1", 2), ("d3", 1)]
