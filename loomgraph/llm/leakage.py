@@ -41,7 +41,7 @@ RUN = 4
 EQUAL, UNEQUAL, GAP = 2, 2, 3  # what a pair of letters earns or costs in the alignment; unlike texts score below nothing, so the path does not wander
 SURE_RUN = 9
 RARE = 2  # a word or q-gram is telling if at most so many items hold it
-TELLING = 10
+TELLING = 8
 SHARED = 3  # items from which on a leading line is a standing instruction
 BLOCK, BLOCKS = 5000, 8  # items in a broadcast index, indexes in a scan
 BATCH = 200  # texts whose q-grams are counted in one go: their numbers stay in the processor's cache
@@ -435,27 +435,29 @@ def longest(present: list[bool], rare: list[bool], changed: list[bool], own: lis
 
     Set phrases of several items meet by chance. A stretch with a run of `sure` present words or a word that few items
     have counts. Any other must hold `telling` telling q-grams (`own`: how many start in each word), and its absent words
-    must be `changed` into others, not left out, unless `min_words` words are present.
+    must be `changed` into others, not left out, and not side by side (as a name is that two texts do not share), unless
+    `min_words` words are present.
     """
     best = 0
     n = len(present)
     for i in range(n):
         if not present[i] or best >= n - i:
             continue
-        missing = row = run = left_out = told = 0
+        missing = row = run = told = 0
+        plain = True
         good = False
         for j in range(i, n):
             if present[j]:
                 row = 0
                 run += 1
                 good = good or run >= sure or rare[j]
-                if missing <= absent * (j - i + 1) and (good or told >= telling and (not left_out or j - i + 1 - missing >= min_words)):
+                if missing <= absent * (j - i + 1) and (good or told >= telling and (plain or j - i + 1 - missing >= min_words)):
                     best = max(best, j - i + 1)
             else:
                 missing += 1
-                left_out += not changed[j]
                 row += 1
                 run = 0
+                plain = plain and changed[j] and row < 2
                 if row >= 3:
                     break
             told += own[j]
