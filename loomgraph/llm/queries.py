@@ -68,6 +68,22 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("subject", F.col("property").alias("predicate"), F.col("row_id").alias("triplet_id"))
 
 
+#: Properties that describe one event or release and are taken from one source together.
+BUNDLES = {"birth": ("date of birth", "place of birth"), "death": ("date of death", "place of death"), "release": ("release date", "running time"), "print": ("publication date", "number of pages")}
+#: Properties of which the first says what the second must be, where sources agree on it.
+LINKED = (("original title", "original language"), ("birth name", "native language"), ("original title", "age rating"), ("headquarters", "chief executive"))
+
+
+def p4_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(subject, predicate, bundle, triplet_id, searched): records put together from whole bundles, with the dependencies that the sources' own claims show."""
+    names = table(spark, sf_dir, "ontology_terms").where("max_cardinality = 1").select("uri", "label")
+    claims = single_valued_claims(spark, sf_dir)
+    uri = {r.label: r.uri for r in names.where(F.col("label").isin([x for b in (*BUNDLES.values(), *LINKED) for x in b])).collect()}
+    bundles = {b: tuple(uri[x] for x in fields) for b, fields in BUNDLES.items()}
+    found = surv.survivors(claims, bundles, surv.mined_dependencies(claims, [(uri[a], uri[b]) for a, b in LINKED]))
+    return found.select("subject", F.col("property").alias("predicate"), "bundle", F.col("row_id").alias("triplet_id"), "searched")
+
+
 def match_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All links between records, in plain IRIs: entity matches with a score of 0.5 or more, and verified matches."""
     er = table(spark, sf_dir, "er_matches").where("id_type = 'entity' AND score >= 0.5 AND NOT isnan(score)")
@@ -110,7 +126,7 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p2_recall": p2_recall, "p3_found": p3_found, "p3_matches": p3_matches, "p4_found": p4_found, "p5_found": p5_found, "p6_containers": p6_containers, "p6_report": p6_report, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_report": p7_report, "p8_found": p8_found, "p8_restored": p8_restored}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p2_recall": p2_recall, "p3_found": p3_found, "p3_matches": p3_matches, "p4_found": p4_found, "p4_bundles": p4_bundles, "p5_found": p5_found, "p6_containers": p6_containers, "p6_report": p6_report, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_report": p7_report, "p8_found": p8_found, "p8_restored": p8_restored}
 
 
 _PLAIN = "lower(regexp_extract({c}, '^[A-Za-z]+://[^/]*')) || substr({c}, length(regexp_extract({c}, '^[A-Za-z]+://[^/]*')) + 1)"
