@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import small, table
+from ..session import Scratch, small, table
 from . import canonical
 from . import components as comp
 from . import entity_match, leakage, mojibake, neighbours
@@ -89,7 +89,9 @@ def match_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     er = table(spark, sf_dir, "er_matches").where("id_type = 'entity' AND score >= 0.5 AND NOT isnan(score)")
     er = er.select(F.col("id_1").alias("a"), F.col("id_2").alias("b"))
     ok = table(spark, sf_dir, "verified_matches").select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
-    return er.unionByName(ok).select(comp.plain_iri(F.col("a")).alias("a"), comp.plain_iri(F.col("b")).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    # Different spellings are put in plain form once each and written, so that no later filter or projection repeats it.
+    raw = er.unionByName(ok).where("length(trim(a)) > 0 AND length(trim(b)) > 0").distinct()
+    return Scratch(spark, "links").keep(raw.select(comp.plain_iri(F.col("a")).alias("a"), comp.plain_iri(F.col("b")).alias("b")))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

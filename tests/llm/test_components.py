@@ -1,9 +1,10 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm.components import components, plain_iri
+from loomgraph.llm.components import components, plain_iri, tail
 
 
 def groups(pairs):
@@ -26,8 +27,9 @@ def run(spark, pairs):
     return {tuple(r) for r in components(spark.createDataFrame(pairs, "a string, b string"), "a", "b").collect()}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_random_graph_equals_union_find(spark, seed):
+@pytest.mark.parametrize("seed, rest", [(1, 10_000), (2, 0)])
+def test_random_graph_equals_union_find(spark, monkeypatch, seed, rest):
+    monkeypatch.setattr("loomgraph.llm.components.TAIL", rest)
     rng = random.Random(seed)
     pairs = [(f"n{rng.randrange(80)}", f"n{rng.randrange(80)}") for _ in range(60)]
     assert run(spark, pairs) == groups(pairs)
@@ -40,6 +42,20 @@ def test_long_chain_star_nulls_and_repeats(spark):
     assert run(spark, chain + star + dirt) == groups(chain + star)
 
 
+def test_tail_equals_union_find():
+    rng = random.Random(3)
+    for n in (5, 60, 400):
+        pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(n)] + [(i, i + 1) for i in range(1000, 1100)]
+        pairs = [(a, b) for a, b in pairs if a != b]
+        (got,) = tail([pd.DataFrame(pairs, columns=["a", "b"])])
+        root = dict(groups([(f"{a:05d}", f"{b:05d}") for a, b in pairs]))
+        assert {f"{v:05d}" for v in got["v"]} == set(root)
+        label = {}
+        for v, c in zip(got["v"], got["c"]):
+            assert label.setdefault(root[f"{v:05d}"], c) == c
+        assert len(set(label.values())) == len(label)
+
+
 def test_empty_and_clashing_columns(spark):
     assert run(spark, []) == set()
     df = spark.createDataFrame([("p", "q", 1, "w")], "a string, b string, v int, record string")
