@@ -74,51 +74,75 @@ def attributes(df: DataFrame, id_: str, title: str, author: str, isbn: str) -> D
     return out.distinct()
 
 
-def _hashes(text: str, mark: int) -> np.ndarray:
-    b = np.frombuffer((" " + text + " ").encode("ascii", "ignore"), np.uint8).astype(np.uint64)
-    if len(b) < 3:
-        return np.zeros(0, np.uint64)
-    g = (b[:-2] << np.uint64(16)) | (b[1:-1] << np.uint64(8)) | b[2:] | np.uint64(mark << 24)
-    g = (g ^ (g >> np.uint64(15))) * np.uint64(0x9E3779B97F4A7C15)
-    return g ^ (g >> np.uint64(31))
-
-
-def band_keys(title: list[str | None], sur: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Band keys of title with surname, and of the title alone, per record (none where there is no title)."""
+def _trigrams(texts: list[str], mark: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the trigrams of code points of all texts, blanks around each, and how many each text has."""
+    sizes = np.array([len(t) + 2 for t in texts], np.int64)
+    c = np.frombuffer("".join(f" {t} " for t in texts).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    if len(c) < 3:
+        return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+    g = (c[:-2] << np.uint64(42)) ^ (c[1:-1] << np.uint64(21)) ^ c[2:]
+    g = (g ^ np.uint64(mark << 62)) * np.uint64(0x9E3779B97F4A7C15)
+    g = (g ^ (g >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    g = (g >> np.uint64(32)).astype(np.uint32)
+    inside = np.ones(len(c), bool)  # trigrams that reach into the next text do not count
+    end = np.cumsum(sizes)
+    inside[end - 1] = inside[end - 2] = False
+    return g[inside[:-2]], sizes - 2
+
+
+def _keys(grams: np.ndarray, sizes: np.ndarray, rows: int, bands: int, tag: int) -> np.ndarray:
+    """Band keys (texts, bands) of texts that have at least one trigram each."""
     rng = np.random.default_rng(5)
-    n = max(ROWS * BANDS, TITLE_ROWS * TITLE_BANDS)
-    mul = rng.integers(1, 2**63, n, dtype=np.uint64) | np.uint64(1)
-    add = rng.integers(0, 2**63, n, dtype=np.uint64)
-
-    def keys(grams: np.ndarray, rows: int, bands: int, tag: int) -> np.ndarray:
-        if not len(grams):
-            return np.zeros(0, np.int64)
-        m = rows * bands
-        h = ((grams[:, None] * mul[None, :m] + add[None, :m]) >> np.uint64(33)).min(axis=0).reshape(bands, rows)
-        out = np.full(bands, np.uint64(tag), np.uint64) + np.arange(bands, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)
-        for r in range(rows):
-            out = (out ^ h[:, r]) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
-        return out.view(np.int64)
-
-    both, alone = [], []
-    for t, s in zip(title, sur):
-        g = _hashes(t, 1) if t else np.zeros(0, np.uint64)
-        both.append(keys(np.unique(np.concatenate([g, _hashes(s, 2)])), ROWS, BANDS, 1) if len(g) and s else np.zeros(0, np.int64))
-        alone.append(keys(np.unique(g), TITLE_ROWS, TITLE_BANDS, 2))
-    return both, alone
-
-
-def blocks(classes: DataFrame) -> DataFrame:
-    """(c, kind, key) of classes: kind 0 ISBN, 1 title with surname, 2 title alone."""
+    mul = rng.integers(1, 2**32, rows * bands, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+    add = rng.integers(0, 2**32, rows * bands, dtype=np.uint64).astype(np.uint32)
+    begin = np.cumsum(sizes) - sizes
+    out = np.full((len(sizes), bands), np.uint64(tag)) + np.arange(bands, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)
+    for band in range(bands):
+        for k in range(band * rows, band * rows + rows):
+            h = grams * mul[k] + add[k]
+            h = np.minimum.reduceat(h ^ (h >> np.uint32(15)), begin).astype(np.uint64)
+            out[:, band] = (out[:, band] ^ h) * np.uint64(0x9E3779B97F4A7C15)
+            out[:, band] ^= out[:, band] >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def band_keys(title: list[str], sur: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of the records with a surname, their band keys of title with surname, band keys of the title alone of all records)."""
+    g, n = _trigrams(title, 1)
+    alone = _keys(g, n, TITLE_ROWS, TITLE_BANDS, 2) if len(title) else np.zeros((0, TITLE_BANDS), np.int64)
+    known = np.array([i for i, s in enumerate(sur) if s], np.int64)
+    if not len(known):
+        return known, np.zeros((0, BANDS), np.int64), alone
+    gs, ns = _trigrams([sur[i] for i in known], 2)
+    owner = np.concatenate([np.repeat(np.arange(len(title)), n), np.repeat(known, ns)])
+    both = np.concatenate([g, gs])
+    keep = np.isin(owner, known)
+    order = np.argsort(owner[keep], kind="stable")
+    return known, _keys(both[keep][order], n[known] + ns, ROWS, BANDS, 1), alone
+
+
+def blocks(classes: DataFrame, side: str) -> DataFrame:
+    """(c, kind, key) of classes: kind 0 ISBN, 1 title with surname, 2 and 3 title alone.
+
+    Titles alone meet only where a side knows no author: kind 2 are sources without one and all targets, kind 3 all other
+    sources and targets without one.
+    """
 
     def keyed(batches):
         for pdf in batches:
-            both, alone = band_keys(pdf["flat"].tolist(), pdf["sur"].tolist())
-            rows = [(c, 1, k) for c, ks in zip(pdf["c"], both) for k in ks] + [(c, 2, k) for c, ks in zip(pdf["c"], alone) for k in ks]
-            yield pd.DataFrame(rows, columns=["c", "kind", "key"])
-
-    flat = classes.where("t IS NOT NULL").select("c", F.array_join("words", " ").alias("flat"), "sur")
+            if not len(pdf):
+                continue
+            known, both, alone = band_keys(pdf["flat"].tolist(), pdf["sur"].tolist())
+            c = pdf["c"].to_numpy()
+            states = np.isin(np.arange(len(c)), known)
+            parts = [(c[known], 1, both)]
+            if side == "s":
+                parts += [(c[~states], 2, alone[~states]), (c[states], 3, alone[states])]
+            else:
+                parts += [(c, 2, alone), (c[~states], 3, alone[~states])]
+            yield pd.concat([pd.DataFrame({"c": np.repeat(x, k.shape[1]), "kind": kind, "key": k.ravel()}) for x, kind, k in parts])
+
+    flat = classes.where("t IS NOT NULL").select("c", F.array_join("words", " ").alias("flat"), F.nullif("sur", F.lit("")).alias("sur")).where("flat <> ''")
     return flat.mapInPandas(keyed, "c long, kind int, key long").unionByName(classes.where("code IS NOT NULL").select("c", F.lit(0).alias("kind"), F.xxhash64("code").alias("key")))
 
 
@@ -191,7 +215,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, rounds: in
 
 
 def match(source: DataFrame, target: DataFrame, source_cols: tuple[str, str, str, str], target_cols: tuple[str, str, str, str], threshold: float = THRESHOLD) -> DataFrame:
-    """(source_id, target_id, confidence) of record pairs with a confidence of at least `threshold`.
+    """(source_id, target_id, confidence, model) of record pairs with a confidence of at least `threshold`.
+
+    model is "calibrated"; "fitted" if the labelled pairs left for calibration are all of one kind; "prior" if there are
+    fewer than 20 labelled pairs or all are of one kind, so that hand-set weights stand in and confidences are no more than
+    an order.
 
     The columns are (id, title, author, isbn). Rows with a null id are ignored; nulls and blanks elsewhere mean "not
     stated"; a row sent twice counts once, and an id with several different rows matches through each of them (the best
@@ -205,45 +233,47 @@ def match(source: DataFrame, target: DataFrame, source_cols: tuple[str, str, str
         rows = scratch.keep(attributes(df, *c).withColumn("h", F.xxhash64("t", "vol", "sur", "ini", "code")).withColumn("h2", F.hash("t", "vol", "sur", "ini", "code")))
         one = scratch.keep(rows.groupBy("h", "h2").agg(*[F.first(x).alias(x) for x in cols]).withColumn("c", F.monotonically_increasing_id()))
         member = scratch.keep(rows.select("id", "h", "h2").join(one.select("h", "h2", "c"), ["h", "h2"]).select("id", "c").distinct())
-        sides[name] = (one.drop("h", "h2"), member, scratch.keep(blocks(one)))
+        scratch.drop(rows)
+        sides[name] = (one, member, scratch.keep(blocks(one, name)))
     s_cls, s_mem, s_key = sides["s"]
     t_cls, t_mem, t_key = sides["t"]
     # How many authors the whole corpus knows for a title.
     by_title = s_cls.select("t", "vol", "sur").unionByName(t_cls.select("t", "vol", "sur")).where("t IS NOT NULL AND sur IS NOT NULL")
     authors = by_title.groupBy("t").agg(F.count_distinct(F.concat(F.substring("sur", 1, 2), F.substring("sur", -2, 2))).cast("int").alias("authors"))
-    known = lambda one: one.select("c", F.col("sur").isNotNull().alias("known"))
-    left, right = s_key.join(known(s_cls), "c"), t_key.join(known(t_cls), "c")
-    joined = left.select(F.col("c").alias("s_c"), "kind", "key", F.col("known").alias("sk")).join(right.select(F.col("c").alias("t_c"), "kind", "key", F.col("known").alias("tk")), ["kind", "key"])
-    candidates = joined.where("kind <> 2 OR NOT sk OR NOT tk").select("s_c", "t_c").distinct()
+    joined = s_key.withColumnRenamed("c", "s_c").join(t_key.withColumnRenamed("c", "t_c"), ["kind", "key"])
+    candidates = joined.select("s_c", "t_c").distinct()
     pairs = (
-        candidates.join(s_cls.select(F.col("c").alias("s_c"), *[F.col(x).alias(f"s_{x}") for x in cols]), "s_c")
-        .join(t_cls.select(F.col("c").alias("t_c"), *[F.col(x).alias(f"t_{x}") for x in cols]), "t_c")
+        candidates.join(s_cls.select(F.col("c").alias("s_c"), F.col("h").alias("s_h"), *[F.col(x).alias(f"s_{x}") for x in cols]), "s_c")
+        .join(t_cls.select(F.col("c").alias("t_c"), F.col("h").alias("t_h"), *[F.col(x).alias(f"t_{x}") for x in cols]), "t_c")
         .join(authors.select(F.col("t").alias("s_t"), F.col("authors").alias("sa")), "s_t", "left")
         .join(authors.select(F.col("t").alias("t_t"), F.col("authors").alias("ta")), "t_t", "left")
         .withColumn("authors", F.greatest(F.coalesce("sa", F.lit(1)), F.coalesce("ta", F.lit(1))))
     )
-    scored = scratch.keep(features(pairs).select("s_c", "t_c", *FEATURES))
-    sample = scored.withColumn("label", weak_label()).where("label IS NOT NULL").orderBy(F.xxhash64("s_c", "t_c")).limit(TRAIN).select(*FEATURES, "label").toPandas()
-    w = weights(sample)
+    scored = scratch.keep(features(pairs).select("s_c", "t_c", F.xxhash64("s_h", "t_h").alias("draw"), *FEATURES))
+    scratch.drop(s_key)
+    scratch.drop(t_key)
+    # drawn by a hash of what the records state, so the model does not depend on the partitioning
+    sample = scored.withColumn("label", weak_label()).where("label IS NOT NULL").orderBy("draw", *FEATURES).limit(TRAIN).select(*FEATURES, "label").toPandas()
+    w, learned = weights(sample)
     z = sum((F.col(f) * F.lit(float(v)) for f, v in zip(FEATURES, w)), F.lit(0.0))
     kept = scored.withColumn("confidence", F.round(1 / (1 + F.exp(-z)), 4)).where(F.col("confidence") >= threshold).select("s_c", "t_c", "confidence")
     out = kept.join(s_mem.select(F.col("id").alias("source_id"), F.col("c").alias("s_c")), "s_c").join(t_mem.select(F.col("id").alias("target_id"), F.col("c").alias("t_c")), "t_c")
-    return out.groupBy("source_id", "target_id").agg(F.max("confidence").alias("confidence"))
+    return out.groupBy("source_id", "target_id").agg(F.max("confidence").alias("confidence")).withColumn("model", F.lit(learned))
 
 
-def weights(sample: pd.DataFrame) -> np.ndarray:
-    """Logistic weights fitted on one half of the labelled sample, with Platt scaling fitted on the other half folded in."""
+def weights(sample: pd.DataFrame) -> tuple[np.ndarray, str]:
+    """Logistic weights fitted on one half of the labelled sample, with Platt scaling fitted on the other half folded in, and how far that went."""
     if len(sample) < 20 or sample["label"].nunique() < 2:
         # too little to learn from: the labelling functions' own order of importance
         prior = dict(bias=4.0, title_far=-30.0, title_words=2.0, rest_far=-4.0, title_cut=4.0, vol_same=1.0, vol_differ=-12.0, vol_one=-8.0, author_unknown=-1.0, sur_far=-14.0, ini_differ=-4.0, isbn_same=3.0, isbn_differ=0.0, shared_title=-5.0)
-        return np.array([prior[f] for f in FEATURES])
+        return np.array([prior[f] for f in FEATURES]), "prior"
     x, y = sample[list(FEATURES)].to_numpy(float), sample["label"].to_numpy(float)
     half = np.arange(len(y)) % 2 == 0
     w = fit_logistic(x[half], y[half])
     z = x[~half] @ w
     if len(set(y[~half])) < 2:
-        return w
+        return w, "fitted"
     a, b = fit_logistic(np.stack([z, np.ones_like(z)], 1), y[~half], penalty=0.01)
     w = w * a
     w[0] += b
-    return w
+    return w, "calibrated"

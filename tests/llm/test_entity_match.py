@@ -50,11 +50,31 @@ def test_classifier_separates_held_out_labels():
     x[:, 0] = 1
     x[:, 1] = rng.uniform(0, 1, 400)
     y = (x[:, 1] + 0.05 * rng.normal(size=400) < 0.3).astype(int)
-    w = weights(pd.DataFrame(x[:300], columns=list(FEATURES)).assign(label=y[:300]))
+    w, learned = weights(pd.DataFrame(x[:300], columns=list(FEATURES)).assign(label=y[:300]))
+    assert learned == "calibrated" and weights(pd.DataFrame(x[:5], columns=list(FEATURES)).assign(label=y[:5]))[1] == "prior"
     assert (((x[300:] @ w) > 0) == y[300:]).mean() > 0.93
     assert np.isfinite(fit_logistic(x, y)).all()
 
 
 def test_bands_meet_for_slips():
-    both, alone = band_keys(["kitchen bridge harbour", "kitchen brigde harbour", "lantern meadow"], ["holmqvist", "holmqvist", "holmqvist"])
+    known, both, alone = band_keys(["kitchen bridge harbour", "kitchen brigde harbour", "lantern meadow", "q"], ["holmqvist", "holmqvist", "holmqvist", None])
+    assert known.tolist() == [0, 1, 2] and both.shape == (3, 40) and alone.shape == (4, 24)
     assert set(both[0]) & set(both[1]) and set(alone[0]) & set(alone[1]) and not set(alone[0]) & set(alone[2])
+    one = [band_keys([t], [s]) for t, s in (("kitchen bridge harbour", "holmqvist"), ("lantern meadow", "holmqvist"))]
+    assert (one[0][1] == both[0]).all() and (one[1][2] == alone[2]).all()  # a record's keys do not depend on its batch
+
+
+def test_titles_of_other_scripts(spark):
+    titles, names = ["война и мир", "мастер и маргарита", "ο γέρος και η θάλασσα", "老人与海的故事"], ["толстой", "булгаков", "χέμινγουεϊ", "海明威"]
+    _, both, alone = band_keys(titles, names)
+    for i in range(4):
+        for j in range(i):
+            assert not set(both[i]) & set(both[j]) and not set(alone[i]) & set(alone[j])
+    rows = [(f"r{i}", t, f"{n} ann", None) for i, (t, n) in enumerate(zip(titles, names))]
+    assert found(spark, rows, [(f"u{i}", t.upper(), a, None) for i, (_, t, a, _) in enumerate(rows)]) == {(f"r{i}", f"u{i}") for i in range(4)}
+
+
+def test_title_alone_meets_where_a_side_knows_no_author(spark):
+    a = [("s1", "Quiet Orchard and Salted Bridge", None, None), ("s2", "Lantern for the Northern Harbour", "Ida Holm", None)]
+    b = [("t1", "Quiet Orchard and Salted Bridge", "Jon Brask", None), ("t2", "Lantern for the Northern Harbour", None, None), ("t3", "Quiet Orchard and Salted Bridge", None, None)]
+    assert found(spark, a, b) == {("s1", "t1"), ("s1", "t3"), ("s2", "t2")}
