@@ -35,6 +35,7 @@ from ..session import Scratch, small
 EDITS = ((3, 0), (5, 2), (9, 4), (10_000, 6))
 SURE = ((9, 3), (10_000, 4))  # edits up to which slips are estimated, by length of the entry; beyond, where letters may have moved further, they are counted
 ISOLATION = 5
+ALPHABET = 2000  # different letters outside ASCII that a list may have
 
 # Additions around a value that do not change what it means.
 LEADING = ("the", "its", "was", "has", "whose", "dbx", "onto", "is", "in", "a", "an")
@@ -80,9 +81,11 @@ def repaired(c: Column, alphabet: list[str]) -> Column:
     """`c` with the garbled letters of `alphabet` put right (`alphabet`: the marked letters of the list, a bounded set)."""
     once = {garbled(ch): ch for ch in alphabet}
     twice = {"".join(garbled(x) if not x.isascii() else x for x in g): ch for g, ch in once.items()}
+    out = c
     for g, ch in sorted({**once, **twice}.items(), key=lambda x: -len(x[0])):
-        c = F.replace(c, F.lit(g), F.lit(ch))
-    return c
+        out = F.replace(out, F.lit(g), F.lit(ch))
+    # garbled letters are never plain ASCII, so most values skip the whole chain
+    return F.when(c.rlike(r"[^\x00-\x7f]"), out).otherwise(c)
 
 
 def cleaned(c: Column) -> Column:
@@ -146,7 +149,9 @@ def similar(values: DataFrame, entries: DataFrame) -> DataFrame:
     """Pairs (list, x, ref, d) of values `x` and entries `ref` (columns list, ref, n, k) within k edits, by segments."""
     seg = segments(entries)
     shape = seg.select("list", "n", "k", "i", "p", "w").distinct()
-    v = values.select("list", "x", F.length("x").alias("m")).distinct()
+    # Every value is taken apart into very many more rows: a number of partitions of its own keeps small tables from being one task.
+    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    v = values.select("list", "x", F.length("x").alias("m")).distinct().repartition(tasks, "x")
     # Windows of the positions at which a segment can survive: i edits before it and k - i after it.
     probe = (
         v.join(small(shape), "list")
@@ -197,7 +202,9 @@ def map_to_canonical(forms: DataFrame, terms: DataFrame, isolation: int = ISOLAT
     spark = forms.sparkSession
     scratch = Scratch(spark, "canonical")
     terms = terms.select("list", F.col("term_id").cast("long").alias("term_id"), "label").where("label IS NOT NULL").distinct()
-    marked = terms.select(F.explode(F.split(F.regexp_replace("label", r"[\x00-\x7f]", ""), "")).alias("ch")).where("ch <> ''").distinct().limit(2000).collect()
+    marked = terms.select(F.explode(F.split(F.regexp_replace("label", r"[\x00-\x7f]", ""), "")).alias("ch")).where("ch <> ''").distinct().limit(ALPHABET + 1).collect()
+    if len(marked) > ALPHABET:
+        raise ValueError(f"the list has more than {ALPHABET} different letters outside ASCII: too many to look for in garbled form")
     alphabet = sorted({r.ch for r in marked} | {r.ch.upper() for r in marked if len(r.ch.upper()) == 1} | {" ", "​", "–", "’", "­"})
     named = scratch.keep(
         terms.withColumn("ref", F.regexp_replace(cleaned(F.col("label")), r"[ ,]+", "")).where("ref <> ''").withColumn("n", F.length("ref")).withColumn("k", edits_for(F.col("n")))
