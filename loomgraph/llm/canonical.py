@@ -6,9 +6,9 @@ but for the counting of slips in pairs far apart.
 2. A form is cleaned (wrongly decoded letters of the list's own alphabet, invisible characters, case, accents,
    separators) and unfolded into variants: without a leading or trailing addition ("whose ...", "... (film)"), and with
    "B, A" turned into "A B".
-3. Each entry of the list is cut into k+1 segments. Within k edits at least one segment survives unharmed, so a variant
-   that is within k edits shares a segment at a position that is shifted by less than the edits left over for it. The
-   join is an equality join on (list, entry length, segment number, segment text).
+3. Each entry of the list is cut into k+1 segments with one letter between them, so that a swap of neighbours harms no
+   more than one. Within k slips at least one segment survives unharmed, at a position that is shifted by no more than the
+   slips left over for it. The join is an equality join on (list, entry length, segment number, segment text).
 4. Candidates are verified with the built-in levenshtein. A swap of neighbours costs two there but is one slip, so the
    slips are estimated as b + ceil((d - b) / 2), b being the letters that the two strings do not have in common. Beyond
    SURE edits the estimate is only a bound, and the slips of what passes it are counted in Arrow batches.
@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch, small
 
-#: Edits up to which candidates are looked for, by length of the entry: (up to this length, edits). Twice the slips that
-#: are accepted, as a swap of neighbours is one slip and two edits.
-EDITS = ((3, 0), (5, 2), (9, 4), (10_000, 6))
+#: Slips up to which candidates are looked for, by length of the entry: (up to this length, slips). A slip is an edit or a
+#: swap of neighbours.
+SLIPS = ((3, 0), (5, 1), (9, 2), (10_000, 3))
 SURE = ((9, 3), (10_000, 4))  # edits up to which slips are estimated, by length of the entry; beyond, where letters may have moved further, they are counted
 ISOLATION = 5
 ALPHABET = 2000  # different letters outside ASCII that a list may have
@@ -127,27 +127,30 @@ def variants(c: Column, rounds: int = 3) -> Column:
     return F.array_distinct(F.filter(F.transform(out, lambda x: F.regexp_replace(x, r"[ ,]+", "")), lambda x: F.length(x) > 0))
 
 
-def edits_for(length: Column) -> Column:
-    out = F.lit(EDITS[-1][1])
-    for upto, k in reversed(EDITS[:-1]):
+def slips_for(length: Column) -> Column:
+    out = F.lit(SLIPS[-1][1])
+    for upto, k in reversed(SLIPS[:-1]):
         out = F.when(length <= upto, F.lit(k)).otherwise(out)
     return out
 
 
-def segments(entries: DataFrame) -> DataFrame:
-    """Each entry `ref` of length `n` with `k`, cut into k+1 segments: (list, n, k, i, p, w, seg); the last ones are the longer ones."""
+def segments(entries: DataFrame, gap: int = 0) -> DataFrame:
+    """Each entry `ref` of length `n` with `k`, cut into k+1 segments with `gap` letters between them: (list, n, k, i, p, w, seg); the last ones are the longer ones."""
     e = entries.withColumn("i", F.explode(F.expr("sequence(0, k)")))
-    base = F.expr("n div (k + 1)")
-    longer = F.expr("n % (k + 1)")
-    start = F.col("i") * base + F.greatest(F.lit(0), F.col("i") - (F.col("k") + 1 - longer)) + 1
+    base = F.expr(f"greatest(0, n - k * {gap}) div (k + 1)")
+    longer = F.expr(f"greatest(0, n - k * {gap}) % (k + 1)")
+    start = F.col("i") * (base + gap) + F.greatest(F.lit(0), F.col("i") - (F.col("k") + 1 - longer)) + 1
     width = base + (F.col("i") >= (F.col("k") + 1 - longer)).cast("int")
     e = e.withColumn("p", start.cast("int")).withColumn("w", width.cast("int"))
     return e.where("w > 0").withColumn("seg", F.expr("substring(ref, p, w)"))
 
 
-def similar(values: DataFrame, entries: DataFrame) -> DataFrame:
-    """Pairs (list, x, ref, d) of values `x` and entries `ref` (columns list, ref, n, k) within k edits, by segments."""
-    seg = segments(entries)
+def similar(values: DataFrame, entries: DataFrame, swaps: bool = False) -> DataFrame:
+    """Pairs (list, x, ref, d) of values `x` and entries `ref` (columns list, ref, n, k) within k edits, by segments.
+
+    With `swaps` all pairs within k slips are among the result, and none beyond 2 k edits; entries then need 2 k + 1 letters.
+    """
+    seg = segments(entries, int(swaps))
     shape = seg.select("list", "n", "k", "i", "p", "w").distinct()
     # Every value is taken apart into very many more rows: a number of partitions of its own keeps small tables from being one task.
     tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -163,7 +166,7 @@ def similar(values: DataFrame, entries: DataFrame) -> DataFrame:
         .distinct()
     )
     hits = probe.join(small(seg.select("list", "n", "k", "i", "seg", "ref")), ["list", "n", "i", "seg"]).select("list", "x", "ref", "k").distinct()
-    return hits.withColumn("d", F.levenshtein("x", "ref")).where("d <= k").drop("k")
+    return hits.withColumn("d", F.levenshtein("x", "ref")).where("d <= 2 * k" if swaps else "d <= k").drop("k")
 
 
 def _shared(a: str, b: str) -> str:
@@ -207,7 +210,7 @@ def map_to_canonical(forms: DataFrame, terms: DataFrame, isolation: int = ISOLAT
         raise ValueError(f"the list has more than {ALPHABET} different letters outside ASCII: too many to look for in garbled form")
     alphabet = sorted({r.ch for r in marked} | {r.ch.upper() for r in marked if len(r.ch.upper()) == 1} | {" ", "​", "–", "’", "­"})
     named = scratch.keep(
-        terms.withColumn("ref", F.regexp_replace(cleaned(F.col("label")), r"[ ,]+", "")).where("ref <> ''").withColumn("n", F.length("ref")).withColumn("k", edits_for(F.col("n")))
+        terms.withColumn("ref", F.regexp_replace(cleaned(F.col("label")), r"[ ,]+", "")).where("ref <> ''").withColumn("n", F.length("ref")).withColumn("k", slips_for(F.col("n")))
     )
     entries = named.select("list", "ref", "n", "k").distinct()
     forms = forms.select("list", "form").where(r"form RLIKE '[^\\s\\p{Z}\\p{Cf}\\p{Cc}]'").distinct()
@@ -216,9 +219,9 @@ def map_to_canonical(forms: DataFrame, terms: DataFrame, isolation: int = ISOLAT
     exact = unfolded.join(small(entries.select("list", F.col("ref").alias("x"))), ["list", "x"]).select("list", "form", F.col("x").alias("ref"), F.lit(0).alias("slips"))
     exact = scratch.keep(exact)
     rest = unfolded.join(exact.select("list", "form").distinct(), ["list", "form"], "left_anti")
-    pairs = similar(rest, entries)
+    pairs = similar(rest, entries, swaps=True)
     # How far an entry is from the next one of another term: the list joined with itself in the same way.
-    near = similar(entries.select("list", F.col("ref").alias("x")), entries.select("list", "ref", "n", F.when(F.col("n") >= isolation + 1, F.lit(isolation - 1)).otherwise(F.col("k")).alias("k")))
+    near = similar(entries.select("list", F.col("ref").alias("x")), entries.select("list", "ref", "n", F.when(F.col("n") >= isolation + 1, F.lit(isolation - 1)).otherwise(2 * F.col("k")).alias("k")))
     by = named.select("list", "ref", "term_id").distinct()
     crowded = (
         near.where("x <> ref")

@@ -1,7 +1,7 @@
 import random
 import string
 
-from loomgraph.llm.canonical import garbled, map_to_canonical, similar
+from loomgraph.llm.canonical import garbled, map_to_canonical, similar, slips_between
 
 TERMS = [("r", 1, "director"), ("r", 1, "directed by"), ("r", 2, "place of birth"), ("r", 2, "birthplace"), ("r", 3, "executive producer"), ("r", 4, "age"), ("e", 5, "Čebobrück"), ("e", 6, "Old Kroshami")]
 
@@ -38,6 +38,29 @@ def test_pigeonhole_join_equals_brute_force(spark):
     assert got == want
 
 
+def test_gapped_segments_keep_every_pair_within_the_slips(spark):
+    rng = random.Random(13)
+    word = lambda n: "".join(rng.choice("abcde") for _ in range(n))
+
+    def slip(x):
+        i = rng.randrange(len(x) - 1)
+        return rng.choice([x[:i] + x[i + 1] + x[i] + x[i + 2 :], x[:i] + x[i + 1 :], x[:i] + rng.choice("abcde") + x[i:], x[:i] + rng.choice("abcde") + x[i + 1 :]])
+
+    refs = sorted({word(rng.randrange(3, 18)) for _ in range(50)})
+    k = lambda r: 0 if len(r) <= 3 else 1 if len(r) <= 5 else 2 if len(r) <= 9 else 3
+    values = set(refs)
+    for r in refs:
+        for _ in range(8):
+            x = r
+            for _ in range(k(r)):
+                x = slip(x)
+            values.add(x)
+    e = spark.createDataFrame([("l", r, len(r), k(r)) for r in refs], "list string, ref string, n int, k int")
+    got = {(r.x, r.ref) for r in similar(spark.createDataFrame([("l", x) for x in values], "list string, x string"), e, swaps=True).collect()}
+    assert {(x, r) for x in values for r in refs if slips_between(x, r) <= k(r)} <= got
+    assert all(lev(x, r) <= 2 * k(r) for x, r in got)
+
+
 def test_spellings_reach_their_term(spark):
     got = mapped(spark, ["DIRECTOR", "driector", "by, directed", "whose place-of-birth", "executiveProducer (film)", "birth, place of", "plcae of brith", "onto#director name", "tomato soup", "age", "agw", "ega"])
     assert got["tomato soup"] == 0 and got["ega"] == 0
