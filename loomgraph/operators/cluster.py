@@ -11,6 +11,24 @@ from pyspark.sql.window import Window as W
 from ..session import Scratch
 
 
+def closure(edges: DataFrame, a: str = "a", b: str = "b", max_depth: int | None = None) -> DataFrame:
+    """(a, b, depth): b is reached from a by one or more edges, depth being the least number of them.
+
+    Rounds over written tables: what the last round reached is joined with the edges, and what was known before is taken
+    out, until nothing is new; so cycles end and no path is walked twice. Without `max_depth` there is no limit.
+    """
+    scratch = Scratch(edges.sparkSession, "closure")
+    step = scratch.keep(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
+    known = new = scratch.keep(step.withColumn("depth", F.lit(1)))
+    depth = 1
+    while (max_depth is None or depth < max_depth) and new.take(1):
+        depth += 1
+        further = new.select("a", F.col("b").alias("m")).join(step.select(F.col("a").alias("m"), "b"), "m").select("a", "b").distinct()
+        new = scratch.keep(further.join(known, ["a", "b"], "left_anti").withColumn("depth", F.lit(depth)))
+        known = known.unionByName(new)
+    return known
+
+
 def match_components(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
     """(uri, cid): components by alternating star contractions; cid is the least uri of the component.
 
@@ -36,6 +54,8 @@ def match_components(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: i
         if before == (state["n"], state["h"]):
             break
         before = (state["n"], state["h"])
+    else:
+        raise RuntimeError(f"components are not done after {max_rounds} rounds")
     return nodes.join(edges.select(F.col("x").alias("uri"), F.col("y").alias("cid")), "uri", "left").select("uri", F.coalesce("cid", "uri").alias("cid"))
 
 
@@ -86,9 +106,10 @@ def greedy_matching(pairs: DataFrame, max_rounds: int | None = None) -> DataFram
     return chosen if chosen is not None else left
 
 
-def set_cover(doc_paths: DataFrame, doc: str = "doc", path: str = "path", max_docs: int = 1000) -> DataFrame:
+def set_cover(doc_paths: DataFrame, doc: str = "doc", path: str = "path", max_docs: int | None = None) -> DataFrame:
     """Greedy cover of all paths by documents: the document with the most uncovered paths first, ties to the smaller id.
 
+    Goes on until every path is covered; with `max_docs`, paths left after so many documents are an error.
     Documents are reduced to their distinct path sets first; per step one aggregate over what is uncovered.
     """
     scratch = Scratch(doc_paths.sparkSession, "cover")
@@ -97,15 +118,19 @@ def set_cover(doc_paths: DataFrame, doc: str = "doc", path: str = "path", max_do
     keep = sets.groupBy("h").agg(F.min("doc").alias("doc")).select("doc")
     left = scratch.keep(left.join(keep, "doc", "left_semi"))
     rows: list[tuple] = []
-    for step in range(max_docs):
+    step = 0
+    while True:
         top = left.groupBy("doc").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "doc").first()
         if top is None:
             break
+        if step == max_docs:
+            raise RuntimeError(f"paths are left after {max_docs} documents")
         rows.append((step + 1, top["doc"], top["n"]))
         covered = left.where(F.col("doc") == F.lit(top["doc"])).select("path")
-        nxt = scratch.keep(left.join(F.broadcast(covered), "path", "left_anti"))
+        nxt = scratch.keep(left.join(covered, "path", "left_anti"))
         scratch.drop(left)
         left = nxt
+        step += 1
     kind = doc_paths.schema[doc].dataType.simpleString()
     return doc_paths.sparkSession.createDataFrame(rows, f"step int, doc {kind}, new_paths long")
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..model import LABEL, OWL, RDF, RDFS, TYPE, VOCABULARY, XSD, Ontology, TripleFrame, as_graph, is_iri
+from .cluster import closure
 
 
 def _props(o: Ontology) -> DataFrame:
@@ -161,18 +162,10 @@ def ontology_triples(t: DataFrame) -> DataFrame:
     return t.join(defs, "s", "left_semi").where(F.col("p").startswith(RDF) | F.col("p").startswith(RDFS) | F.col("p").startswith(OWL) | F.col("p").contains("altLabel"))
 
 
-def subclass_closure(t: DataFrame, max_depth: int = 20) -> DataFrame:
-    """(cls, super, depth): transitive superclasses by a loop over the small hierarchy; cycles end with the least depth."""
-    edge = t.where(F.col("p") == RDFS + "subClassOf").select(F.col("s").alias("cls"), F.col("o").alias("super")).distinct()
-    spark = t.sparkSession
-    edge.createOrReplaceTempView("_sub_class")
-    out = spark.sql(
-        f"""WITH RECURSIVE up(cls, super, depth) AS (
-              SELECT cls, super, 1 FROM _sub_class
-              UNION ALL SELECT up.cls, e.super, up.depth + 1 FROM up JOIN _sub_class e ON up.super = e.cls WHERE up.depth < {max_depth})
-            SELECT cls, super, MIN(depth) AS depth FROM up GROUP BY cls, super"""
-    )
-    return out
+def subclass_closure(t: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(cls, super, depth): transitive superclasses of any depth; cycles end with the least depth."""
+    up = closure(t.where(F.col("p") == RDFS + "subClassOf"), "s", "o", max_depth)
+    return up.select(F.col("a").alias("cls"), F.col("b").alias("super"), "depth")
 
 
 def shacl_shapes(o: Ontology) -> DataFrame:

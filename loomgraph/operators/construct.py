@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..model import LABEL, TYPE, XSD, as_graph
 
-NODES = "doc string, path string, parent string, key string, value string, kind string, hash string, label string"
+NODES = "doc string, path string, parent string, key string, value string, kind string, hash string, label string, own string"
 
 
 def table_triples(df: DataFrame, cls: str, key: str, resource: str, namespace: str, label: str | None = None, literals: dict[str, str] | None = None, edges: dict[str, str] | None = None) -> DataFrame:
@@ -33,13 +33,13 @@ def df_name(cls: str) -> str:
 
 
 def flatten_json(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
-    """Nodes of nested JSON of any depth: one row per value with its path, parent path, key, kind and label.
+    """Nodes of nested JSON of any depth: one row per value with its path, parent path, key, kind, label and `own`, the path of the nearest dict above it.
 
     kind: dict, list, string, number, boolean, null; malformed documents give one row of kind `corrupt`. Dicts carry the
     md5 of their content (keys sorted) and a label: a value under one of the usual keys, else the shortest short string.
     """
 
-    def walk(name: str, value, path: str, parent: str, key: str) -> Iterator[tuple]:
+    def walk(name: str, value, path: str, parent: str, key: str, own: str | None) -> Iterator[tuple]:
         if isinstance(value, dict):
             flat = {k: str(v) for k, v in value.items() if isinstance(v, (str, int, float)) and not isinstance(v, bool)}
             label = next((flat[k] for k in ("name", "label", "title", "prefLabel", "fullName") if flat.get(k)), None)
@@ -47,26 +47,26 @@ def flatten_json(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataF
                 short = [v for v in flat.values() if 0 < len(v) <= 80 and not v.replace(".", "").isdigit()]
                 label = min(short, key=lambda v: (len(v), v)) if short else None
             digest = hashlib.md5(json.dumps(value, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
-            yield (name, path, parent, key, None, "dict", digest, label)
+            yield (name, path, parent, key, None, "dict", digest, label, own)
             for k in value:
-                yield from walk(name, value[k], f"{path}.{k}", path, k)
+                yield from walk(name, value[k], f"{path}.{k}", path, k, path)
         elif isinstance(value, list):
-            yield (name, path, parent, key, None, "list", None, None)
+            yield (name, path, parent, key, None, "list", None, None, own)
             for i, v in enumerate(value):
-                yield from walk(name, v, f"{path}[{i}]", path, key)
+                yield from walk(name, v, f"{path}[{i}]", path, key, own)
         else:
             kind = "null" if value is None else "boolean" if isinstance(value, bool) else "number" if isinstance(value, (int, float)) else "string"
             shown = None if value is None else json.dumps(value) if kind != "string" else value
-            yield (name, path, parent, key, shown, kind, None, None)
+            yield (name, path, parent, key, shown, kind, None, None, own)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for name, text_ in zip(pdf["_d"], pdf["_t"]):
                 try:
-                    rows += walk(str(name), json.loads(text_), "$", "", "")
+                    rows += walk(str(name), json.loads(text_), "$", "", "", None)
                 except (ValueError, TypeError):
-                    rows.append((str(name), "$", "", "", text_, "corrupt", None, None))
+                    rows.append((str(name), "$", "", "", text_, "corrupt", None, None, None))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in NODES.split(", ")])
 
     return docs.select(F.col(doc).cast("string").alias("_d"), F.col(text).alias("_t")).mapInPandas(run, NODES)
@@ -83,7 +83,7 @@ def json_triples(nodes: DataFrame, resource: str, namespace: str, heuristic: boo
 
     Dicts become entities named by the md5 of their content (with the class of their key, if `by_kind`), so equal objects
     merge. A scalar becomes a literal, or, if `heuristic` finds it more like an object, an entity named by the md5 of its
-    text and labelled with it. Values of a list belong to the node that holds the list. `entities` and `relations` say
+    text and labelled with it. Values of a list, and of lists in it, belong to the node that holds the list. `entities` and `relations` say
     where each node and property came from.
     """
     ns = F.lit(namespace)
@@ -94,11 +94,9 @@ def json_triples(nodes: DataFrame, resource: str, namespace: str, heuristic: boo
     node = nodes.where("kind NOT IN ('list', 'null', 'corrupt')").withColumn("is_obj", (F.col("kind") == "dict") | scalar_object)
     node = node.withColumn("iri", F.when(F.col("kind") == "dict", iri(F.col("hash"))).when(F.col("is_obj"), iri(F.md5("value"))))
     node = node.withColumn("label", F.when(F.col("kind") == "dict", F.col("label")).when(F.col("is_obj"), F.col("value")))
-    # the owner of a value: the dict above it, or above the list that holds it
+    # the owner of a value: the nearest dict above it, whatever lists lie between
     holder = nodes.where("kind = 'dict'").select("doc", F.col("path").alias("own"), iri(F.col("hash")).alias("s"))
-    lists = nodes.where("kind = 'list'").select("doc", F.col("path").alias("lp"), F.col("parent").alias("up"))
-    place = node.where("path <> '$'").withColumn("own", F.col("parent")).join(lists.withColumnRenamed("lp", "own"), ["doc", "own"], "left").withColumn("own", F.coalesce("up", "own")).drop("up")
-    edge = place.join(holder.select("doc", "own", "s"), ["doc", "own"])
+    edge = node.where("path <> '$'").join(holder.select("doc", "own", "s"), ["doc", "own"])
     prop = F.concat(ns, T.key_name(F.col("key")))
     lit_type = F.when(F.col("kind") == "boolean", XSD + "boolean").otherwise(T.literal_type(F.col("value")))
     links = edge.select("s", prop.alias("p"), F.when(F.col("is_obj"), F.col("iri")).otherwise(F.col("value")).alias("o"), F.when(F.col("is_obj"), "iri").otherwise("literal").alias("k"), F.when(~F.col("is_obj"), lit_type).alias("dt"))
@@ -117,8 +115,7 @@ def json_triples(nodes: DataFrame, resource: str, namespace: str, heuristic: boo
 def json_document_triples(nodes: DataFrame) -> DataFrame:
     """Extraction-style triples of flattened JSON: (doc, subject, predicate, object, mapping); the root is the document."""
     owner = nodes.where("kind = 'dict'").select("doc", F.col("path").alias("own"), F.when(F.col("path") == "$", F.col("doc")).otherwise(F.sha2("hash", 256)).alias("subject"))
-    lists = nodes.where("kind = 'list'").select("doc", F.col("path").alias("own"), F.col("parent").alias("up"))
-    val = nodes.where("kind NOT IN ('list', 'corrupt', 'null') AND path <> '$'").withColumn("own", F.col("parent")).join(lists, ["doc", "own"], "left").withColumn("own", F.coalesce("up", "own"))
+    val = nodes.where("kind NOT IN ('list', 'corrupt', 'null') AND path <> '$'")
     obj = F.when(F.col("kind") == "dict", F.sha2("hash", 256)).otherwise(F.col("value"))
     return val.join(owner, ["doc", "own"]).select("doc", "subject", F.col("key").alias("predicate"), obj.alias("object"), F.when(F.col("value").startswith("http"), F.col("value")).alias("mapping"))
 
@@ -140,8 +137,7 @@ def linked_json(nodes: DataFrame, entity_links: DataFrame, property_links: DataF
     prop = property_links.where(F.col("score") >= min_score).groupBy("key").agg(F.max_by("uri", "score").alias("p"))
     info = F.broadcast(properties.select(F.col("uri").alias("p"), "domain", "range"))
     d = nodes.where("kind = 'dict'").join(ent, "label", "left").select("doc", F.col("path").alias("own"), "label", F.coalesce("linked", F.concat(F.lit(resource), F.col("hash"))).alias("s"))
-    lists = nodes.where("kind = 'list'").select("doc", F.col("path").alias("own"), F.col("parent").alias("up"))
-    val = nodes.where("kind NOT IN ('list', 'null', 'corrupt') AND path <> '$'").withColumn("own", F.col("parent")).join(lists, ["doc", "own"], "left").withColumn("own", F.coalesce("up", "own")).drop("up", "label")
+    val = nodes.where("kind NOT IN ('list', 'null', 'corrupt') AND path <> '$'").drop("label")
     x = val.join(d, ["doc", "own"]).join(prop, "key").join(info, "p", "left")
     inner = d.select("doc", F.col("own").alias("path"), F.col("s").alias("node"))
     x = x.join(inner, ["doc", "path"], "left").join(ent.select(F.col("label").alias("value"), F.col("linked").alias("v_link")), "value", "left")

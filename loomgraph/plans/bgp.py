@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.cluster import closure
+
 Pattern = tuple[str, str, str]
 
 
@@ -112,14 +114,9 @@ def construct(bindings: DataFrame, templates: list[Pattern]) -> DataFrame:
     return bindings.select(F.explode(rows).alias("r")).select("r.*").where("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL").distinct()
 
 
-def path_plus(t: DataFrame, predicate: str, max_depth: int = 20) -> DataFrame:
+def path_plus(t: DataFrame, predicate: str, max_depth: int | None = None) -> DataFrame:
     """(a, b): b is reached from a by one or more steps of a predicate (a property path)."""
-    t.where(F.col("p") == predicate).select(F.col("s").alias("a"), F.col("o").alias("b")).distinct().createOrReplaceTempView("_path_edges")
-    return t.sparkSession.sql(
-        f"""WITH RECURSIVE w(a, b, d) AS (SELECT a, b, 1 FROM _path_edges
-              UNION ALL SELECT w.a, e.b, w.d + 1 FROM w JOIN _path_edges e ON w.b = e.a WHERE w.d < {max_depth})
-            SELECT DISTINCT a, b FROM w"""
-    )
+    return closure(t.where(F.col("p") == predicate), "s", "o", max_depth).select("a", "b")
 
 
 def first_non_empty(*queries) -> DataFrame:

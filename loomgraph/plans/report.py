@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import html
+import io
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -11,7 +15,13 @@ from ..functions import text as T
 LONG = "pipeline string, stage string, aspect string, metric string, value double, normalized double, duration double, details string"
 
 #: Weights of the ranking presets over (size, consistency, reference, efficiency): fixed values.
-PRESETS = {"balanced": (0.25, 0.25, 0.25, 0.25), "size": (0.7, 0.1, 0.1, 0.1), "consistency": (0.1, 0.7, 0.1, 0.1), "reference": (0.1, 0.1, 0.7, 0.1), "efficiency": (0.1, 0.1, 0.1, 0.7)}
+PRESETS = {
+    "equal": (0.25, 0.25, 0.25, 0.25),
+    "quantity_focused": (0.5, 0.1, 0.1, 0.3),
+    "quality_focused": (0.0, 0.5, 0.5, 0.0),
+    "reference_alignment_focused": (0.0, 0.2, 0.8, 0.0),
+    "efficiency_oriented": (0.2, 0.2, 0.2, 0.4),
+}
 
 
 def stage_number(c: Column) -> Column:
@@ -170,11 +180,13 @@ def to_text(df: DataFrame, style: str = "markdown") -> str:
     rows = [[("" if v is None else str(v)) for v in r] for r in df.collect()]
     head = df.columns
     if style == "csv":
-        return "\n".join(",".join(x) for x in [head, *rows])
+        out = io.StringIO()
+        csv.writer(out, lineterminator="\n").writerows([head, *rows])
+        return out.getvalue().rstrip("\n")
     if style == "markdown":
         return "\n".join(["| " + " | ".join(head) + " |", "|" + " --- |" * len(head), *["| " + " | ".join(r) + " |" for r in rows]])
     if style == "html":
-        cells = lambda r, t: "<tr>" + "".join(f"<{t}>{v}</{t}>" for v in r) + "</tr>"
+        cells = lambda r, t: "<tr>" + "".join(f"<{t}>{html.escape(v)}</{t}>" for v in r) + "</tr>"
         return "<table>" + cells(head, "th") + "".join(cells(r, "td") for r in rows) + "</table>"
     width = [max(map(len, c)) for c in zip(head, *rows)] if rows else list(map(len, head))
     return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, width)).rstrip() for r in [head, *rows])

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows above which a lookup side is joined by shuffle instead of being broadcast.
 BROADCAST_ROWS = 200_000
+#: Bytes above which it is, whatever its number of rows.
+BROADCAST_BYTES = 64 << 20
 
 
 def get_spark(app: str = "loomgraph", cores: str = "8", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -53,13 +55,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a folder of our own only where it is unset."""
+    """The shared folder of the cluster (spark.checkpoint.dir).
+
+    Only where all tasks run on this machine a folder of our own takes its place; elsewhere an unset folder is an error,
+    as executors would write to disks that others cannot read.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="loomgraph-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+    if not getattr(sc, "_loomgraph_scratch", None):
+        sc._loomgraph_scratch = tempfile.mkdtemp(prefix="loomgraph-")
+        atexit.register(shutil.rmtree, sc._loomgraph_scratch, ignore_errors=True)
+    return sc._loomgraph_scratch
 
 
 class Scratch:
@@ -91,6 +101,8 @@ class Scratch:
             target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `rows` rows, else `df`: the planner then joins by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` with a broadcast hint if it has at most `rows` rows and, written as text, `size` bytes; else `df`: the planner then joins by shuffle."""
+    text = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    got = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(text), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if got["n"] <= rows and got["bytes"] <= size else df

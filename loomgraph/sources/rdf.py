@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 
 import pandas as pd
@@ -158,15 +159,25 @@ def parse_files(files: DataFrame, text: str = "content") -> tuple[DataFrame, Dat
     return as_graph(x.where("error IS NULL")), x.where("error IS NOT NULL").select("path", "error")
 
 
-def read_graph(spark: SparkSession, paths: str | list[str], format: str = "auto", drop_alt_labels: bool = True) -> DataFrame:
-    """Union of files or directories. `auto` reads N-Triples by line if every line parses, else each file as Turtle."""
+def read_graph(spark: SparkSession, paths: str | list[str], format: str = "auto", drop_alt_labels: bool = True, strict: bool = False) -> DataFrame:
+    """Union of files or directories. `auto` reads N-Triples by line if every line parses, else each file as Turtle.
+
+    A line or file that cannot be read is left out with a warning, or an error if `strict`; `parse_ntriples` and
+    `parse_files` give them as rows. A Turtle file is read by one task, as prefixes hold for the rest of the file: split very large ones.
+    """
+    bad = None
     if format in ("auto", "nt"):
         graph, corrupt = parse_ntriples(spark.read.text(paths))
+        bad = corrupt
         if format == "auto" and not corrupt.isEmpty():
             format = "ttl"
     if format == "ttl":
         files = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("content"))
-        graph, _ = parse_files(files)
+        graph, bad = parse_files(files)
+    if bad is not None and (first := bad.first()) is not None:
+        if strict:
+            raise ValueError(f"cannot be read: {first.asDict()}")
+        warnings.warn(f"left out, as it cannot be read: {first.asDict()} and possibly more", stacklevel=2)
     return graph.where(F.col("p") != ALT_LABEL) if drop_alt_labels else graph
 
 

@@ -129,3 +129,21 @@ def test_tables(spark, tmp_path):
     assert [tuple(r) for r in docs.entity_dict(ents).collect()] == [("x", "x", None), ("y", "Y", None), ("z", "Z", "T")]
     ev = spark.createDataFrame([("d", json.dumps([{"metric": "count", "summary": "", "measurements": [{"name": "n", "value": 3.14159, "unit": "rows"}, {"value": 1}]}]))], "doc string, value string")
     assert docs.eval_table(docs.eval_results(ev)).first().asDict() == {"doc": "d", "count__n__rows": 3.142}
+
+
+def test_graphs_that_cannot_be_read_are_errors(spark, tmp_path):
+    (tmp_path / "g.nt").write_text("<http://x/a> <http://x/p> <http://x/b> .\nnot a triple\n")
+    with pytest.raises(ValueError):
+        rdf.read_graph(spark, str(tmp_path), "nt", strict=True)
+    with pytest.warns(UserWarning):
+        assert rdf.read_graph(spark, str(tmp_path), "nt").count() == 1
+
+
+def test_scratch_folder_and_checked_broadcast(spark):
+    from loomgraph.session import Scratch, scratch_root, small
+
+    assert scratch_root(spark) == scratch_root(spark)
+    kept = Scratch(spark, "t").keep(spark.range(5))
+    assert kept.count() == 5
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(small(kept)) and not hinted(small(kept, rows=4)) and not hinted(small(kept, size=10))

@@ -228,3 +228,32 @@ def test_link_and_json_evaluation(spark):
     act = spark.createDataFrame([("f", "$.a", "x"), ("f", "$.b", "loc/1"), ("f", "$.c", "bad"), ("f", "$.d", "extra")], "file string, path string, iri string")
     exp = spark.createDataFrame([("f", "$.a", "x"), ("f", "$.b", "y"), ("f", "$.c", "z")], act.schema)
     assert tuple(reference.json_linking_evaluation(act, exp, "loc/", ["file", "path"]).first())[:3] == (1, 2, 1)
+
+
+def test_closure_of_a_long_chain_a_cycle_and_a_diamond(spark):
+    chain = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(30)]
+    got = {(r.a, r.b): r.depth for r in cluster.closure(spark.createDataFrame(chain, "a string, b string")).collect()}
+    assert got == {(f"n{i:02d}", f"n{j:02d}"): j - i for i in range(31) for j in range(i + 1, 31)}
+    odd = [("a", "b"), ("b", "a"), ("c", "d"), ("c", "e"), ("d", "f"), ("e", "f"), (None, "f")]
+    got = {(r.a, r.b): r.depth for r in cluster.closure(spark.createDataFrame(odd, "a string, b string")).collect()}
+    assert got == {("a", "b"): 1, ("b", "a"): 1, ("a", "a"): 2, ("b", "b"): 2, ("c", "d"): 1, ("c", "e"): 1, ("d", "f"): 1, ("e", "f"): 1, ("c", "f"): 2}
+    assert cluster.closure(spark.createDataFrame([], "a string, b string")).collect() == []
+
+
+def test_rounds_that_do_not_suffice_are_errors(spark):
+    chain = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(20)], "a string, b string")
+    with pytest.raises(RuntimeError):
+        cluster.match_components(chain, max_rounds=1)
+    paths = spark.createDataFrame([("d1", "x"), ("d2", "y")], "doc string, path string")
+    with pytest.raises(RuntimeError):
+        cluster.set_cover(paths, max_docs=1)
+    assert cluster.set_cover(paths).count() == 2
+
+
+def test_lists_in_lists(spark):
+    d = spark.createDataFrame([("d", '{"name": "x", "m": [[1, 2], [3, {"name": "y", "k": [[4]]}]]}')], "doc string, text string")
+    nodes = construct.flatten_json(d)
+    out = {(r.predicate, r.object) for r in construct.json_document_triples(nodes).collect()}
+    assert {("m", "1"), ("m", "2"), ("m", "3"), ("k", "4"), ("name", "y")} <= out
+    graph = construct.json_triples(nodes, "http://r/", "http://n/", heuristic=False)["graph"]
+    assert {r.o for r in graph.where("k = 'literal'").collect()} >= {"1", "2", "3", "4"}
