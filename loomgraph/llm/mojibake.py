@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Wrong encodings of UTF-8 bytes, in order of precedence where two give the same sequence.
-WRONG = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r", "cp1250", "cp852", "cp866", "iso8859_2", "iso8859_15", "cp1254", "cp1257")
+WRONG = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r", "cp1250", "cp852", "cp866", "iso8859_2", "iso8859_15", "cp1254", "cp1257", "cp1253", "cp932")
 #: (true, wrong) single-byte pairs in order of precedence.
 SINGLE = (
     ("cp1252", "mac_roman"), ("cp1252", "cp850"), ("cp1252", "cp437"), ("cp1250", "cp1252"), ("iso8859_2", "cp1252"), ("cp1252", "cp1251"), ("cp1252", "koi8_r"),
@@ -68,7 +68,7 @@ def _natural(seq: str) -> bool:
 
 
 def sequences() -> dict[str, tuple[str, str]]:
-    """Garbled sequence -> (character, kind); kind "sure", or "mixed" if it counts only next to Latin letters or another match."""
+    """Garbled sequence -> (character, kind); kind "sure"; "mixed" if it counts only next to Latin letters or another match; "marked" if it could be part of a word, so that it counts only after a small letter or in a text with another match."""
     out: dict[str, tuple[str, str]] = {}
     for wrong in WRONG:
         for ch in LATIN + SIGNS + OTHER:
@@ -80,9 +80,8 @@ def sequences() -> dict[str, tuple[str, str]]:
                 kind = "sure"
                 if _natural(s) and not double:
                     # Latin capitals before a letter of another alphabet are sure; pure Cyrillic or Greek words are not.
-                    kind = "sure" if s[0] in "ÃÂÅÄÐÑ" and s[1] in "šœžŸŠŒŽƒ" else "mixed" if ord(s[0]) >= 0x370 else "skip"
-                if kind != "skip":
-                    out.setdefault(s, (ch, kind))
+                    kind = "sure" if s[0] in "ÃÂÅÄÐÑ" and s[1] in "šœžŸŠŒŽƒ" else "mixed" if ord(s[0]) >= 0x370 else "marked"
+                out.setdefault(s, (ch, kind))
     for ch in LATIN + SIGNS:
         raw = ch.encode("utf-8")
         try:
@@ -114,17 +113,19 @@ def _automaton():
         _SEQ["auto"] = auto
         _SEQ["first"] = frozenset(s[0] for s in table)
         singles: dict[tuple[str, str], dict[str, str]] = {}
+        signs: dict[tuple[str, str], dict[str, str]] = {}
         for true, wrong in SINGLE:
-            m = {}
-            for ch in LATIN:
+            m, signs[(true, wrong)] = {}, {}
+            for ch in LATIN + "–—‘’‚“”„…€™•‹›«»":
                 try:
                     got = ch.encode(true).decode(wrong)
                 except UnicodeError:
                     continue
                 if got != ch and not got.isascii():
-                    m[got] = ch
+                    (m if ch.isalpha() else signs[(true, wrong)])[got] = ch
             singles[(true, wrong)] = m
-        _SEQ["singles"] = singles
+        # letters decide what is a match; signs of the same pair are put right along with them
+        _SEQ["singles"] = {p: {**signs[p], **m} for p, m in singles.items()}
         every = {c for m in singles.values() for c in m}
         between = "".join(sorted(c for c in every if not c.isalpha() and c not in "\xad\xa0’‘“”…–—«»•ªº˜" and not "\u0080" <= c <= "\u009f"))
         capitals = "".join(sorted(c for c in every if c.isalpha() and c.isupper() and ord(c) < 0x250))
@@ -178,10 +179,15 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     ends, starts = {e for _, e, _, _ in found}, {b for b, _, _, _ in found}
     out = []
     sure_mixed = False
-    waiting = []
+    waiting, marked = [], []
     for b, e, ch, kind in found:
         before, after = text[b - 1 : b], text[e : e + 1]
-        if kind == "sure":
+        if kind == "marked":
+            if text[b].isupper() and (before.islower() or (after.islower() and before == "")):
+                out.append((b, e, ch))
+            else:
+                marked.append((b, e, ch))
+        elif kind == "sure":
             last = text[e - 1]
             if e - b == 2 and last in CLOSING + "…–—" and (before in OPENING and before or before.isupper()):
                 continue
@@ -192,9 +198,84 @@ def spans(text: str) -> list[tuple[int, int, str]]:
         else:
             waiting.append((b, e, ch, b in ends or e in starts))
     out += [(b, e, ch) for b, e, ch, joined in waiting if joined and sure_mixed or sure_mixed and e - b == 1 and not text[b - 1 : b].isalpha() and not text[e : e + 1].isalpha()]
+    firsts = {text[b] for b, _, _ in out}
+    out += [(b, e, ch) for b, e, ch in marked if text[b] in firsts]
     return sorted(out)
 
 
+#: Letters of Russian and Greek from the most to the least frequent: fixed values.
+FREQUENT = ("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", "αοιετσνηυρπκμλςωδγχθφβξζψόίάέήύώϊϋ")
+VOWELS = frozenset("оеаиуяыюэёαοιεηυωόίάέήύώ")
+ACCENTED = re.compile(r"(?<![A-Za-z])[À-ÖØ-öø-ÿ]{2,}(?![A-Za-z])|(?<=[ ])[à-öø-ÿ](?=[ ])")
+CYRILLIC = re.compile("[Ѐ-ӿ]+")
+ACCENTED3 = re.compile(r"[À-ÖØ-öø-ÿ]{3}")
+INVERTED = re.compile("[а-яё][А-ЯЁ]{2}")
+FOREIGN = re.compile("[^\x00-\x7f]+(?: [^\x00-\x7f]+)*")
+
+
+def _familiar(word: str) -> float:
+    """How much a word looks like one of a language: mean rank of its letters, 0 for cases or letters that no word has."""
+    low = word.lower()
+    if not (word == low or word[1:] == low[1:] or word.isupper()):
+        return 0.0
+    return max(sum((len(f) - f.index(c)) / len(f) if c in f else -1.0 for c in low) / len(low) for f in FREQUENT)
+
+
+def _whole_words(text: str, pattern: re.Pattern, read_as: str, written_in: tuple[str, ...], least: float) -> list[tuple[int, int, str]]:
+    """(start, end, restored) of words all of whose letters were read as `read_as`; one encoding for the text, told by its longer words."""
+    words = [m for m in pattern.finditer(text)]
+    long = [m.group() for m in words if len(m.group()) >= 4]
+    if len(long) < 3 or sum(map(len, long)) < 12:  # a single word may be a row of letters of the alphabet
+        return []
+    best, chosen = least, None
+    for enc in written_in:
+        try:
+            back = [w.encode(read_as).decode(enc) for w in long]
+        except UnicodeError:
+            continue
+        if min(sum(c.lower() in VOWELS for c in b) / len(b) for b in back) < 0.2:
+            continue
+        score = sum(_familiar(b) * len(b) for b in back) / sum(map(len, back))
+        if score > best and min(map(_familiar, back)) > 0:
+            best, chosen = score, enc
+    if chosen is None:
+        return []
+    out = []
+    for m in words:
+        try:
+            out.append((m.start(), m.end(), m.group().encode(read_as).decode(chosen)))
+        except UnicodeError:
+            continue
+    return out
+
+
+def _runs(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, restored) of runs of foreign characters that are, as bytes of a wrong encoding, UTF-8 of two letters or more of one script."""
+    out = []
+    for m in FOREIGN.finditer(text):
+        run = m.group()
+        if len(run) < 4:
+            continue
+        for wrong in ("cp1251", "koi8_r", "cp866", "cp1253", "cp932", "gbk", "euc_kr", "big5"):
+            try:
+                back = run.encode(wrong).decode("utf-8")
+            except UnicodeError:
+                continue
+            letters = [c for c in back if not c.isspace()]
+            if 2 <= len(letters) < len(run) and all(c.isalpha() for c in letters) and len({_script(c) for c in letters}) == 1 and _script(letters[0]) < 3:
+                out.append((m.start(), m.end(), back))
+                break
+    return out
+
+
+def _put(text: str, found: list[tuple[int, int, str]]) -> str:
+    parts, at = [], 0
+    for b, e, back in found:
+        parts += [text[at:b], back]
+        at = e
+    return "".join([*parts, text[at:]])
+
+
 def examine(text: str | None) -> tuple[int, int, str | None]:
     """(spans found, spans that can't be restored, restored text) of one text."""
     if not text or text.isascii():
@@ -208,6 +289,18 @@ def examine(text: str | None) -> tuple[int, int, str | None]:
         for b, e, back in reversed(wide):
             lost += back.count("�")
             text = text[:b] + back.replace("�", "") + text[e:]
+    if any("\u0370" <= c < "\u2000" or c >= "\u2500" for c in chars):
+        found = _runs(text)
+        if not found and INVERTED.search(text):
+            found = _whole_words(text, CYRILLIC, "cp1251", ("koi8_r",), 0.55)
+        n += len(found)
+        text = _put(text, found)
+    if sum("À" <= c <= "ÿ" for c in chars) >= 4 and ACCENTED3.search(text):
+        found = _whole_words(text, ACCENTED, "cp1252", ("cp1251", "koi8_r", "cp1253", "cp866"), 0.55)
+        n += len(found)
+        text = _put(text, found)
+    if n:
+        chars = set(text)
     if chars & s["first"]:
         hits = spans(text)
         if hits:
@@ -234,10 +327,11 @@ def examine(text: str | None) -> tuple[int, int, str | None]:
         if marks:
             n += len(marks)
             count = Counter(text[i] for i in marks)
+            # one pair for the text as far as it goes; a mark it does not explain takes another that explains two marks at least
             score = {pair: sum(k for c, k in count.items() if c in m) for pair, m in s["singles"].items()}
-            pair = max(score, key=lambda p: (score[p], -SINGLE.index(p)))
-            m = s["singles"][pair]
-            lost += sum(k for c, k in count.items() if c not in m)
+            order = sorted(score, key=lambda p: (-score[p], SINGLE.index(p)))
+            of = {c: next((p for p in order if c in s["singles"][p] and (p == order[0] or score[p] > 1)), None) for c in count}
+            lost += sum(k for c, k in count.items() if of[c] is None)
             hit = iter(sorted(marks))
             nxt = next(hit, None)
             parts, at = [], 0
@@ -245,10 +339,15 @@ def examine(text: str | None) -> tuple[int, int, str | None]:
                 if nxt is None:
                     break
                 if nxt < w.end():
-                    parts += [text[at : w.start()], "".join(m.get(c, c) for c in w.group())]
-                    at = w.end()
+                    here = []
                     while nxt is not None and nxt < w.end():
+                        here.append(nxt)
                         nxt = next(hit, None)
+                    # the letters of a word were misread together: those of the pairs of its marks are put right, others stay
+                    pairs = {of[text[i]] for i in here} - {None}
+                    m = {c: x for p in pairs for c, x in s["singles"][p].items()}
+                    parts += [text[at : w.start()], "".join(m.get(c, c) for c in w.group())]
+                    at = w.end()
             text = "".join([*parts, text[at:]])
     return n + len(gone), lost, text
 

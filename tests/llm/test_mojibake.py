@@ -56,3 +56,28 @@ def test_frames_with_dirt(spark):
     assert sorted(r.doc_id for r in got) == [1, 1, 5]
     assert all(r.restored.endswith(TEXTS["fr"]) for r in got)
     assert repair(df.limit(0)).collect() == []
+
+
+RUSSIAN = "Война и мир. Старый капитан медленно открыл тяжелую дверь"
+
+
+@pytest.mark.parametrize(
+    "text, true, wrong",
+    [
+        (RUSSIAN, "cp1251", "cp1252"),
+        (RUSSIAN, "koi8_r", "cp1251"),
+        (RUSSIAN, "utf-8", "koi8_r"),
+        ("café à la crème, déjà", "utf-8", "cp932"),
+        ("schöne Höhe über", "utf-8", "cp1253"),
+        ("już świat miał wiosną", "utf-8", "cp1250"),
+    ],
+)
+def test_other_encodings_are_restored(text, true, wrong):
+    garbled = text.encode(true).decode(wrong)
+    found, lost, restored = examine(garbled)
+    assert found and restored == text
+
+
+def test_rows_of_letters_and_other_scripts_are_left_alone():
+    for text in (RUSSIAN, "Ελληνικά και άλλα γράμματα", "äöüß und áéíóú sind Buchstaben", "żółć gęślą jaźń", "Привет, ЭТО правда МГУ", "老船长慢慢推开灯塔", "コーヒーとﾊﾝｶｸ文字", "Łódź, Ángel, Œuvre, Ærø"):
+        assert examine(text) == (0, 0, text)
