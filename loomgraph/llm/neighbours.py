@@ -273,14 +273,18 @@ def nearest(vectors: DataFrame, key: str = "vec_id", value: str = "value", k: in
             q = unit(np.stack(right["v"].iloc[a : a + 512].to_list()))
             u = right["u"].iloc[a : a + 512].to_numpy()
             got, _ = graph.search(q.astype(np.float32), SEARCH_BEAM)
-            got = got[:, : most + 2]
-            sim = np.einsum("bkd,bd->bk", exact[np.maximum(got, 0)], q)
-            ok = got >= 0
-            out.append(pd.DataFrame({"u": np.repeat(u, got.shape[1])[ok.ravel()], "w": pid[np.maximum(got, 0)].ravel()[ok.ravel()], "sim": sim.ravel()[ok.ravel()]}))
+            # the whole beam is scored in double precision, rounded and ranked with ties by id before it is cut
+            w = pid[np.maximum(got, 0)]
+            sim = np.round(np.einsum("bkd,bd->bk", exact[np.maximum(got, 0)], q), 9)
+            sim[w == u[:, None]] = 1.0
+            sim[got < 0] = -9.0
+            order = np.lexsort((w, -sim), axis=1)[:, :most]
+            w, sim = np.take_along_axis(w, order, 1), np.take_along_axis(sim, order, 1)
+            ok = (sim > -9).ravel()
+            out.append(pd.DataFrame({"u": np.repeat(u, w.shape[1])[ok], "w": w.ravel()[ok], "sim": sim.ravel()[ok]}))
         return pd.concat(out) if out else empty
 
     found = copies.groupBy("s", "p", "chunk").cogroup(asked.groupBy("s", "p", "chunk")).applyInPandas(answer, "u long, w long, sim double")
-    found = found.withColumn("sim", F.when(F.col("u") == F.col("w"), 1.0).otherwise(F.round("sim", 9)))
     best = found.withColumn("r", F.row_number().over(W.partitionBy("u").orderBy(F.desc("sim"), "w"))).where(f"r <= {most}")
     named = best.join(groups.select(F.col("u").alias("w"), "ids"), "w").select("u", "sim", F.explode("ids").alias("id"))
     lists = named.groupBy("u").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("neg"), "id"))), 1, most).alias("list"))
