@@ -13,10 +13,21 @@ from ..session import small
 IS_A = r"\b([A-Z][\p{L}\p{N}'-]*(?: [A-Z][\p{L}\p{N}'-]*)*) (?:is|was) an? ([a-z][\p{L}-]*(?: [a-z][\p{L}-]*)?)"
 
 
-def pattern_triples(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, subject, predicate, object) of sentences of the form `X is a(n) Y`."""
-    hits = docs.select(key, F.explode(F.expr(f"regexp_extract_all({text}, '{IS_A.replace(chr(92), chr(92) * 2).replace(chr(39), chr(92) + chr(39))}', 0)")).alias("m"))
-    return hits.select(key, F.regexp_extract("m", IS_A, 1).alias("subject"), F.lit("is a").alias("predicate"), F.regexp_extract("m", IS_A, 2).alias("object"))
+ACTION = r"([A-Z][\p{L}'-]+ [A-Z][\p{L}'-]+) ([a-z]+s) (?:an|a|the) ([a-z]+ [a-z]+)"
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def pattern_triples(docs: DataFrame, key: str = "doc_id", text: str = "text", actions: bool = False) -> DataFrame:
+    """(key, subject, predicate, object) of sentences of the form `X is a(n) Y` and, with `actions`, `Given Surname does a(n) Y`."""
+    hits = docs.select(key, F.explode(F.expr(f"regexp_extract_all({text}, {_quoted(IS_A)}, 0)")).alias("m"))
+    out = hits.select(key, F.regexp_extract("m", IS_A, 1).alias("subject"), F.lit("is a").alias("predicate"), F.regexp_extract("m", IS_A, 2).alias("object"))
+    if not actions:
+        return out
+    done = docs.select(key, F.explode(F.expr(f"regexp_extract_all({text}, {_quoted(ACTION)}, 0)")).alias("m"))
+    return out.unionByName(done.select(key, *[F.regexp_extract("m", ACTION, i + 1).alias(n) for i, n in enumerate(("subject", "predicate", "object"))]))
 
 
 def best_links(links: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -696,9 +696,13 @@ def te_quality(spark, d):
     return reference.extraction_quality(t, l_)
 
 
-@query()
+_DONE, _IS = linking.ACTION.replace("'", "''"), linking.IS_A.replace("'", "''")
+
+
+@query(f"""SELECT doc_id, unnest(regexp_extract_all(text, '{_DONE}', 1)) AS subject, unnest(regexp_extract_all(text, '{_DONE}', 2)) AS predicate, unnest(regexp_extract_all(text, '{_DONE}', 3)) AS object FROM documents
+UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '{_IS}', 1)), 'is a', unnest(regexp_extract_all(text, '{_IS}', 2)) FROM documents""")
 def te_pattern_triples(spark, d):
-    return linking.pattern_triples(table(spark, d, "documents"))
+    return linking.pattern_triples(table(spark, d, "documents"), actions=True)
 
 
 # ---------------------------------------------------------------- reporting
