@@ -41,7 +41,7 @@ RUN = 4
 EQUAL, UNEQUAL, GAP = 2, 2, 3  # what a pair of letters earns or costs in the alignment; unlike texts score below nothing, so the path does not wander
 SURE_RUN = 9
 RARE = 2  # a word or q-gram is telling if at most so many items hold it
-TELLING = 8
+TELLING = 12
 SHARED = 3  # items from which on a leading line is a standing instruction
 BLOCK, BLOCKS = 5000, 8  # items in a broadcast index, indexes in a scan
 BATCH = 200  # texts whose q-grams are counted in one go: their numbers stay in the processor's cache
