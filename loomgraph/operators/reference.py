@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 from ..model import TYPE, TripleFrame, is_iri
+from ..session import Scratch
 from . import similarity as S
 
 
@@ -73,10 +74,10 @@ def triple_alignment(t: DataFrame, ref: DataFrame, seed: DataFrame | None = None
 def entity_mapping(t: DataFrame, ref: DataFrame, threshold: float = 0.95, embedder=S.hashed_ngrams) -> DataFrame:
     """(src, dst): entities of the graph and the reference entity with the nearest label above the threshold."""
     la, lb = TripleFrame(t).first_label(), TripleFrame(ref).first_label()
-    va, vb = S.embed(la, "label", embedder), S.embed(lb, "label", embedder)
-    hit = S.similarity_join(va.select("text", "vec"), vb.select(F.col("text").alias("ref_text"), F.col("vec").alias("ref_vec")), "text", "vec", "ref_text", "ref_vec", threshold)
+    hit = S.best_texts(la.select("label"), lb.select("label"), threshold, False, embedder)
     dst = lb.groupBy("label").agg(F.min("s").alias("dst"))
-    return la.select(F.col("s").alias("src"), F.col("label").alias("text")).join(hit, "text").join(dst.select(F.col("label").alias("ref_text"), "dst"), "ref_text").select("src", "dst")
+    to = hit.join(dst.select(F.col("label").alias("ref_text"), "dst"), "ref_text").select(F.col("text").alias("label"), "dst")
+    return Scratch(t.sparkSession, "mapping").keep(la.join(to, "label").select(F.col("s").alias("src"), "dst"))
 
 
 def triple_alignment_soft(t: DataFrame, ref: DataFrame, seed: DataFrame | None = None, threshold: float = 0.95, embedder=S.hashed_ngrams) -> DataFrame:
@@ -94,16 +95,23 @@ def triple_alignment_values(t: DataFrame, ref: DataFrame, threshold: float = 0.9
 
     def lexical(x: DataFrame) -> DataFrame:
         lab = TripleFrame(x).first_label().select(F.col("s").alias("o"), F.col("label").alias("ol"))
-        y = x.join(lab, "o", "left").select("s", "p", F.when(is_iri(), F.coalesce("ol", "o")).otherwise(F.col("o")).alias("o")).distinct()
-        return y.where(F.col("p") != TYPE) if exclude_type else y
-
-    la, lb = lexical(a), lexical(ref)
-    with_vec = lambda x: x.join(S.embed(x, "o", embedder).withColumnRenamed("text", "o"), "o")
-    hit = S.value_alignment(with_vec(la), with_vec(lb), "vec", threshold)
-    got = la.join(hit.where("hit").select("s", "p", "o"), ["s", "p", "o"], "left_semi").agg(F.count("*").alias("tp"))
-    all_ = la.agg(F.count("*").alias("n"))
-    fn = lb.join(la.select("s", "p").distinct(), ["s", "p"], "left_anti").agg(F.count("*").alias("fn"))
-    out = got.crossJoin(all_).crossJoin(fn).withColumn("fp", F.col("n") - F.col("tp"))
+        x = x.where(F.col("p") != TYPE) if exclude_type else x
+        iri = x.where(is_iri()).select("s", "p", "o").join(lab, "o", "left").select("s", "p", F.coalesce("ol", "o").alias("o"))
+        return iri.unionByName(x.where(~F.coalesce(is_iri(), F.lit(False))).select("s", "p", "o"))
+
+    # Values in plain text: equal ones have cosine 1, so that only values without an equal one are embedded, pair by pair.
+    flag = lambda x, left: lexical(x).select("s", "p", "o", F.lit(left).alias("a"), F.lit(not left).alias("b"))
+    both = flag(a, True).unionByName(flag(ref, False)).repartition("s", "p").groupBy("s", "p", "o").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    group = W.partitionBy("s", "p")
+    both = both.withColumn("seen", F.max("a").over(group)).withColumn("open", F.max(F.expr("a AND NOT b")).over(group))
+    # What is settled is kept as flags only, in one pass.
+    needed = F.expr("open")
+    both = Scratch(t.sparkSession, "values").keep(both.select(*[F.when(needed, F.col(c)).alias(c) for c in ("s", "p", "o")], "a", "b", "seen", "open"))
+    n = both.agg(F.count_if("a").alias("n"), F.count_if(F.expr("a AND b")).alias("same"), F.count_if(F.expr("b AND NOT seen")).alias("fn"))
+    pairs = both.where("open AND a AND NOT b").select("s", "p", "o").join(both.where("open AND b").select("s", "p", F.col("o").alias("o2")), ["s", "p"])
+    near = S.value_scores(pairs, embedder).where(F.col("score") > threshold)
+    hit = pairs.join(near, ["o", "o2"]).select("s", "p", "o").distinct().agg(F.count("*").alias("near"))
+    out = n.crossJoin(hit).withColumn("tp", F.col("same") + F.col("near")).withColumn("fp", F.col("n") - F.col("tp"))
     return out.select("tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 

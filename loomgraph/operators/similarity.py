@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -10,21 +11,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..session import Scratch
+
 BLOCK = 2000  # reference vectors that are shipped to a task at a time
+CROWD = 64  # different vectors with one signature, beyond which the signature does not tell enough
 
 
 def hashed_ngrams(texts: list[str], dim: int = 256, n: int = 3) -> np.ndarray:
     """Unit vectors of hashed character n-grams; the same text gives the same vector everywhere."""
-    out = np.zeros((len(texts), dim), np.float64)
-    for i, t in enumerate(texts):
-        b = np.frombuffer(f"  {(t or '').lower().strip()} ".encode(), np.uint8).astype(np.uint64)
-        if len(b) < n:
-            continue
-        h = np.zeros(len(b) - n + 1, np.uint64)
-        for k in range(n):
-            h = h * np.uint64(1_000_003) + b[k : len(b) - n + 1 + k]
-        h = (h ^ (h >> np.uint64(13))) * np.uint64(0x9E3779B97F4A7C15)
-        np.add.at(out[i], (h >> np.uint64(40)) % np.uint64(dim), 1.0)
+    parts = [f"  {(t or '').lower().strip()} ".encode() for t in texts]
+    size = np.array([len(p) for p in parts], np.int64)
+    b = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint64)
+    if len(b) < n:
+        return np.zeros((len(texts), dim), np.float64)
+    row, end = np.repeat(np.arange(len(texts)), size), np.repeat(np.cumsum(size), size)
+    windows = len(b) - n + 1
+    h = np.zeros(windows, np.uint64)
+    for k in range(n):
+        h = h * np.uint64(1_000_003) + b[k : windows + k]
+    h = (h ^ (h >> np.uint64(13))) * np.uint64(0x9E3779B97F4A7C15)
+    inside = np.arange(windows) + n <= end[:windows]  # a window does not reach into the next text
+    at = row[:windows] * dim + ((h >> np.uint64(40)) % np.uint64(dim)).astype(np.int64)
+    out = np.bincount(at[inside], minlength=len(texts) * dim).reshape(len(texts), dim).astype(np.float64)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
@@ -92,6 +100,89 @@ def similarity_join(left: DataFrame, right: DataFrame, lid: str, lvec: str, rid:
     return best.where(F.col("score") >= threshold if inclusive else F.col("score") > threshold)
 
 
+def _unit(m: np.ndarray) -> np.ndarray:
+    m = np.asarray(m, np.float64)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+
+def best_texts(left: DataFrame, right: DataFrame, threshold: float = 0.95, inclusive: bool = False, embedder: Callable[[list[str]], np.ndarray] = hashed_ngrams, digits: int = 4) -> DataFrame:
+    """(text, ref_text, score): for every text of `left` the most similar one of `right` (one column each) if it reaches the threshold; ties to the smaller text.
+
+    The same as `similarity_join` over both sides embedded, without comparing all pairs. A score that rounds to 1 cannot
+    be beaten, and two unit vectors with such a score differ by no more than r = 10^(-digits/2) in any coordinate. So they
+    have the same signature, the set of coordinates beyond 2r, unless a coordinate of the left one lies between r and 3r:
+    one keyed join finds all of them, and the least of them is the answer. Left vectors that are unclear in this sense,
+    whose signature more than CROWD different vectors share, or that have no such partner, are compared with the whole
+    right side in blocks of texts, which are embedded where they are compared. Nothing goes through the driver.
+    """
+    scratch = Scratch(left.sparkSession, "best-texts")
+    r = 10 ** (-digits / 2) * 1.001
+
+    def mark(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            m = _unit(embedder(pdf["text"].tolist()))
+            size, zero = np.abs(m), ~m.any(axis=1)
+            clear = ~((size > r) & (size < 3 * r)).any(axis=1) & ~zero
+            bits = np.packbits(size > 2 * r, axis=1)
+            yield pd.DataFrame({"text": pdf["text"], "sig": [x.tobytes() for x in bits], "vid": [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in m], "clear": clear})
+
+    def side(df: DataFrame) -> DataFrame:
+        texts = df.toDF("text").where("text IS NOT NULL").distinct()
+        return scratch.keep(texts.mapInPandas(mark, "text string, sig binary, vid binary, clear boolean"))
+
+    def same(batches):
+        for pdf in batches:
+            ok = (pdf["vid"] == pdf["ref_vid"]).to_numpy(copy=True)
+            other = np.flatnonzero(~ok)
+            if len(other):
+                x, y = (_unit(embedder(pdf[c].iloc[other].tolist())) for c in ("one", "ref_text"))
+                ok[other] = np.round((x * y).sum(axis=1), digits) >= 1
+            yield pdf.loc[ok, ["vid", "ref_text"]]
+
+    a, b = side(left), side(right)
+    known = b.groupBy("sig", "vid").agg(F.min("text").alias("ref_text")).groupBy("sig").agg(F.collect_list(F.struct("vid", "ref_text")).alias("refs")).where(f"size(refs) <= {CROWD}")
+    pairs = a.where("clear").groupBy("sig", "vid").agg(F.min("text").alias("one")).join(known, "sig").select("vid", "one", F.explode("refs").alias("ref"))
+    pairs = pairs.select("vid", "one", F.col("ref.vid").alias("ref_vid"), F.col("ref.ref_text").alias("ref_text"))
+    top = pairs.mapInPandas(same, "vid binary, ref_text string").groupBy("vid").agg(F.min("ref_text").alias("ref_text"))
+    found = scratch.keep(a.join(top, "vid", "left").select("text", "ref_text", F.when(F.col("ref_text").isNotNull(), 1.0).alias("score")))
+    rest = found.where("ref_text IS NULL").select("text")
+    left_over = rest.count()
+    found = found.where("ref_text IS NOT NULL")
+    if left_over:
+        found = found.unionByName(_best_of_all(rest, left_over, b.select("text"), b.count(), embedder, digits))
+    return found.where(F.col("score") >= threshold if inclusive else F.col("score") > threshold)
+
+
+def _best_of_all(left: DataFrame, n_left: int, right: DataFrame, n_right: int, embedder, digits: int) -> DataFrame:
+    """(text, ref_text, score): the most similar text of `right`, by products of blocks of BLOCK texts; a task has a few blocks of each side."""
+    size = BLOCK
+
+    def pack(batches):
+        held: list[str] = []
+        for pdf in batches:
+            held += pdf["text"].tolist()
+            while len(held) >= size:
+                yield pd.DataFrame({"texts": [held[:size]]})
+                held = held[size:]
+        if held:
+            yield pd.DataFrame({"texts": [held]})
+
+    def scan(batches):
+        for pdf in batches:
+            for x, y in zip(pdf["x"], pdf["y"]):
+                x, y = list(x), sorted(y)
+                s = np.round(_unit(embedder(x)) @ _unit(embedder(y)).T, digits) + 0.0
+                at = s.argmax(axis=1)
+                yield pd.DataFrame({"text": x, "ref_text": [y[i] for i in at], "score": s[np.arange(len(x)), at]})
+
+    blocks = lambda df, n, name: df.repartition(max(1, -(-n // (4 * size)))).mapInPandas(pack, "texts array<string>").withColumnRenamed("texts", name)
+    best = blocks(left, n_left, "x").crossJoin(blocks(right, n_right, "y")).mapInPandas(scan, "text string, ref_text string, score double")
+    least = best.groupBy("text").agg(F.min(F.struct((-F.col("score")).alias("neg"), "ref_text")).alias("b"))
+    return least.select("text", F.col("b.ref_text").alias("ref_text"), (-F.col("b.neg") + 0.0).alias("score"))
+
+
 def label_index(labels: DataFrame, queries: DataFrame, k: int = 5, accept: float = 0.7, embedder=hashed_ngrams) -> DataFrame:
     """(query, uri, label, score, decision): the best label of each of the `k` nearest uris; accepted from `accept` on, else to review."""
     lv = labels.select("uri", "label").distinct().join(embed(labels, "label", embedder).withColumnRenamed("text", "label"), "label")
@@ -108,6 +199,18 @@ def centroids(df: DataFrame, group: str, vector: str, digits: int = 6) -> DataFr
     return df.select(group, F.posexplode(vector).alias("dim", "v")).groupBy(group, "dim").agg((F.round(F.avg(F.col("v").cast("double")), digits) + 0.0).alias("value"))
 
 
+def value_scores(pairs: DataFrame, embedder: Callable[[list[str]], np.ndarray] = hashed_ngrams, digits: int = 6) -> DataFrame:
+    """(o, o2, score): cosine of two texts, for each different pair of `pairs` once; vectors stay in the task that compares them."""
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                x, y = (_unit(embedder(pdf[c].tolist())) for c in ("o", "o2"))
+                yield pdf.assign(score=np.round((x * y).sum(axis=1), digits))
+
+    return pairs.select("o", "o2").distinct().mapInPandas(run, "o string, o2 string, score double")
+
+
 def value_alignment(a: DataFrame, b: DataFrame, vec: str = "vec", threshold: float = 0.95) -> DataFrame:
     """Per left (s, p, o) the best cosine among the values of the same (s, p) on the right, and whether it passes."""
     from ..functions.text import cosine

@@ -257,3 +257,43 @@ def test_lists_in_lists(spark):
     assert {("m", "1"), ("m", "2"), ("m", "3"), ("k", "4"), ("name", "y")} <= out
     graph = construct.json_triples(nodes, "http://r/", "http://n/", heuristic=False)["graph"]
     assert {r.o for r in graph.where("k = 'literal'").collect()} >= {"1", "2", "3", "4"}
+
+
+def 
+
+def no_driver(monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def fail(self, *a, **k):
+        raise AssertionError("vectors go through the driver")
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", fail)
+
+
+def test_best_texts_equals_all_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    words = ["red", "Red", "RED ", "blue ring", "Blue ring", "bleu ring", "", "a" * 30, "a" * 31, "x" * 1500 + "y", "x" * 1500 + "z"]
+    a = words + ["".join(rng.choice("ab0") for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    b = words[1:] + ["".join(rng.choice("ab0") for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    left, right = spark.createDataFrame([(x,) for x in a] + [(None,)], "t string"), spark.createDataFrame([(x,) for x in b] + [(None,)], "t string")
+    vec = lambda df, n: similarity.embed(df, "t").select(F.col("text").alias(n), F.col("vec").alias(f"{n}v"))
+    want = {(r.x, r.y, r.score) for r in similarity.similarity_join(vec(left, "x"), vec(right, "y"), "x", "xv", "y", "yv", 0.8).collect()}
+    no_driver(monkeypatch)
+    for crowd in (similarity.CROWD, 1):
+        monkeypatch.setattr(similarity, "CROWD", crowd)
+        monkeypatch.setattr(similarity, "BLOCK", 2000 if crowd > 1 else 7)
+        assert {(r.text, r.ref_text, r.score) for r in similarity.best_texts(left, right, 0.8).collect()} == want
+    assert similarity.best_texts(left.limit(0), right).count() == similarity.best_texts(left, right.limit(0)).count() == 0
+
+
+def test_values_are_aligned_without_the_driver(spark, monkeypatch):
+    from loomgraph.operators.similarity import hashed_ngrams
+
+    no_driver(monkeypatch)
+    near = "the long road to the old harbour of the north"
+    a = g(spark, ("a", LABEL, "Film A", "literal", None), ("a", "p", "1", "literal", None), ("a", "p", near + ".", "literal", None), ("a", "p", "other", "literal", None), ("a", "r", "c"), ("a", "q", "5", "literal", None), ("c", LABEL, "City", "literal", None))
+    b = g(spark, ("z", LABEL, "Film A", "literal", None), ("z", "p", "1", "literal", None), ("z", "p", near, "literal", None), ("z", "r", "y"), ("y", LABEL, "City", "literal", None), ("y", "u", "7", "literal", None))
+    v = hashed_ngrams([near, near + "."])
+    assert v[0] @ v[1] > 0.95
+    got = reference.triple_alignment_values(a, b).first()
+    assert (got.tp, got.fp, got.fn) == (5, 2, 1)
