@@ -43,9 +43,7 @@ def source_coverage(t: DataFrame, verified: DataFrame) -> DataFrame:
 
 def source_coverage_soft(t: DataFrame, verified: DataFrame, threshold: float = 0.95, embedder=S.hashed_ngrams) -> DataFrame:
     """The same with labels compared by cosine (inclusive threshold)."""
-    have = S.embed(TripleFrame(t).labels(), "label", embedder).select(F.col("text").alias("found"), F.col("vec").alias("fv"))
-    want = S.embed(verified, "label", embedder).withColumnRenamed("text", "want")
-    hit = S.similarity_join(want, have, "want", "vec", "found", "fv", threshold, inclusive=True)
+    hit = S.best_texts(verified.select("label"), TripleFrame(t).labels().select("label"), threshold, True, embedder).withColumnRenamed("text", "want")
     n = verified.select("label").distinct().agg(F.count("*").alias("expected"))
     return hit.agg(F.count_distinct("want").alias("overlap")).crossJoin(n).withColumn("coverage", F.round(F.least(T.ratio(F.col("overlap"), F.col("expected")), F.lit(1.0)), 6))
 

@@ -297,3 +297,10 @@ def test_values_are_aligned_without_the_driver(spark, monkeypatch):
     assert v[0] @ v[1] > 0.95
     got = reference.triple_alignment_values(a, b).first()
     assert (got.tp, got.fp, got.fn) == (5, 2, 1)
+
+
+def test_coverage_by_labels_in_another_spelling(spark, monkeypatch):
+    no_driver(monkeypatch)
+    a = g(spark, ("a", LABEL, "Film A", "literal", None), ("b", LABEL, "Film B", "literal", None))
+    v = spark.createDataFrame([("x", "film a"), ("y", "Film A"), ("z", "nothing alike")], "uri string, label string")
+    assert tuple(reference.source_coverage_soft(a, v).first()) == (2, 3, 0.666667)
