@@ -304,3 +304,11 @@ def test_coverage_by_labels_in_another_spelling(spark, monkeypatch):
     a = g(spark, ("a", LABEL, "Film A", "literal", None), ("b", LABEL, "Film B", "literal", None))
     v = spark.createDataFrame([("x", "film a"), ("y", "Film A"), ("z", "nothing alike")], "uri string, label string")
     assert tuple(reference.source_coverage_soft(a, v).first()) == (2, 3, 0.666667)
+
+
+def test_soft_alignment_without_the_driver(spark, monkeypatch):
+    no_driver(monkeypatch)
+    a = g(spark, ("a", LABEL, "Film A", "literal", None), ("a", "p", "c"), ("c", LABEL, "City", "literal", None))
+    b = g(spark, ("z", LABEL, "film a", "literal", None), ("z", "p", "y"), ("y", LABEL, "City", "literal", None))
+    got = reference.triple_alignment_soft(a, b).first()
+    assert (got.tp, got.fp, got.fn) == (2, 1, 1)
