@@ -121,17 +121,23 @@ def entity_alignment(gen: DataFrame, ref: DataFrame, mode: str = "label", thresh
     """
     drop = lambda d: d.join(ignored.select("s"), "s", "left_anti") if ignored is not None else d
     a, b = drop(TripleFrame(gen).label_types()), drop(TripleFrame(ref).label_types())
-    va, vb = S.embed(a, "label", embedder), S.embed(b, "label", embedder)
-    hit = S.similarity_join(va, vb.select(F.col("text").alias("ref_text"), F.col("vec").alias("ref_vec")), "text", "vec", "ref_text", "ref_vec", threshold, inclusive=True)
-    pairs = a.select(F.col("s").alias("src"), F.col("label").alias("text"), F.col("types").alias("ta")).join(hit, "text").join(b.select(F.col("s").alias("dst"), F.col("label").alias("ref_text"), F.col("types").alias("tb")), "ref_text")
+    hit = S.best_texts(a.select("label"), b.select("label"), threshold, True, embedder)
+    # Entities with the same label and types have the same fate: they are counted, never paired with one another.
+    scratch = Scratch(gen.sparkSession, "entities")
+    ga = scratch.keep(a.groupBy(F.col("label").alias("text"), F.col("types").alias("ta")).agg(F.count("*").alias("na")))
+    gb = scratch.keep(b.groupBy(F.col("label").alias("ref_text"), F.col("types").alias("tb")).agg(F.count("*").alias("nb")))
+    pairs = ga.join(hit, "text").join(gb, "ref_text")
     if mode == "type":
         pairs = pairs.where(F.get("ta", F.lit(0)).eqNullSafe(F.get("tb", F.lit(0))))
     elif mode == "intersecting_type":
         pairs = pairs.where(F.arrays_overlap("ta", "tb"))
-    tp = pairs.agg(F.count_distinct("dst").alias("tp"))
-    fp = a.join(pairs.select(F.col("src").alias("s")).distinct(), "s", "left_anti").agg(F.count("*").alias("fp"))
-    fn = b.join(pairs.select(F.col("dst").alias("s")).distinct(), "s", "left_anti").agg(F.count("*").alias("fn"))
-    return tp.crossJoin(fp).crossJoin(fn).select("tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
+    pairs = scratch.keep(pairs.select("text", "ta", "na", "ref_text", "tb", "nb"))
+    total = lambda df, n, name: df.agg(F.coalesce(F.sum(n), F.lit(0)).alias(name))
+    tp = total(pairs.select("ref_text", "tb", "nb").distinct(), "nb", "tp")
+    met = total(pairs.select("text", "ta", "na").distinct(), "na", "met")
+    out = tp.crossJoin(met).crossJoin(total(ga, "na", "gen")).crossJoin(total(gb, "nb", "ref"))
+    out = out.select("tp", (F.col("gen") - F.col("met")).alias("fp"), (F.col("ref") - F.col("tp")).alias("fn"))
+    return out.select("tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
 def duplicates(alignment: DataFrame, entities: DataFrame) -> DataFrame:

@@ -259,8 +259,6 @@ def test_lists_in_lists(spark):
     assert {r.o for r in graph.where("k = 'literal'").collect()} >= {"1", "2", "3", "4"}
 
 
-def 
-
 def no_driver(monkeypatch):
     from pyspark.sql.classic.dataframe import DataFrame
 
@@ -312,3 +310,14 @@ def test_soft_alignment_without_the_driver(spark, monkeypatch):
     b = g(spark, ("z", LABEL, "film a", "literal", None), ("z", "p", "y"), ("y", LABEL, "City", "literal", None))
     got = reference.triple_alignment_soft(a, b).first()
     assert (got.tp, got.fp, got.fn) == (2, 1, 1)
+
+
+def test_entities_of_one_label_are_counted_not_paired(spark):
+    """3.6 thousand million pairs of entities with the same label and type."""
+    n = 60_000
+    e = spark.range(n).select(F.explode(F.array(*[F.struct(F.concat(F.lit("e"), "id").alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(k).alias("k"), F.lit(None).cast("string").alias("dt")) for p, o, k in ((LABEL, F.lit("ring"), "literal"), (TYPE, F.when(F.col("id") == 7, N + "B").otherwise(N + "A"), "iri"))])).alias("r")).select("r.*")
+    one = g(spark, ("z", LABEL, "Ring", "literal", None), ("z", TYPE, N + "A"), ("y", LABEL, "ring", "literal", None), ("y", TYPE, N + "C"))
+    got = reference.entity_alignment(e, e, "intersecting_type").first()
+    assert (got.tp, got.fp, got.fn) == (n, 0, 0)
+    got = reference.entity_alignment(e, one, "type").first()
+    assert (got.tp, got.fp, got.fn) == (1, 1, 1)
