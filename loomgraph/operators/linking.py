@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 from ..model import LABEL, TYPE, XSD, Ontology, as_graph
-from ..session import small
+from ..session import Scratch, small
 
 IS_A = r"\b([A-Z][\p{L}\p{N}'-]*(?: [A-Z][\p{L}\p{N}'-]*)*) (?:is|was) an? ([a-z][\p{L}-]*(?: [a-z][\p{L}-]*)?)"
 
@@ -100,19 +100,32 @@ def filter_links_by_shade(links: DataFrame, shade: DataFrame) -> DataFrame:
 def token_blocks(a: DataFrame, b: DataFrame, key: str, text: str, max_df: float = 0.05, min_jaccard: float = 0.5) -> DataFrame:
     """(id_1, id_2, score): pairs that share a token, by Jaccard of their token sets.
 
-    Candidates come from each side's rarest tokens only (prefix filtering): two sets with Jaccard >= t must share one of
-    their first |x| - ceil(t*|x|) + 1 tokens in order of corpus frequency. That is exact for the threshold.
+    Sets are compared, not rows: rows with the same tokens are one set, and their ids come in at the end. Different sets
+    of n1 and n2 tokens with Jaccard >= t have o = ceil(t * (n1 + n2) / (1 + t)) tokens in common, so in order of
+    frequency the first common one is among the first n1 - o + 1 and n2 - o + 1. A set is looked up there only for the
+    sizes that leave room for o, which is exact for the threshold. A pair is scored where its first common token is met,
+    so no table of candidates is written.
     """
-    toks = lambda d: d.select(F.col(key).alias("id"), F.array_distinct(F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")).alias("toks")).where("size(toks) > 0")
-    x, y = toks(a), toks(b)
-    df = x.unionByName(y).select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
-
-    def prefixed(d):
-        e = d.select("id", F.size("toks").alias("n"), F.explode("toks").alias("tok")).join(df, "tok")
-        r = e.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("df", "tok")))
-        return r.where(F.expr(f"r <= n - ceil({min_jaccard} * n) + 1")).select("id", "tok")
-
-    cand = prefixed(x).select(F.col("id").alias("id_1"), "tok").join(prefixed(y).select(F.col("id").alias("id_2"), "tok"), "tok").select("id_1", "id_2").distinct()
-    j = cand.join(x.select(F.col("id").alias("id_1"), F.col("toks").alias("t1")), "id_1").join(y.select(F.col("id").alias("id_2"), F.col("toks").alias("t2")), "id_2")
-    score = F.size(F.array_intersect("t1", "t2")) / F.size(F.array_union("t1", "t2"))
-    return j.select("id_1", "id_2", F.round(score, 6).alias("score")).where(F.col("score") >= min_jaccard)
+    scratch = Scratch(a.sparkSession, "blocks")
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")))
+    toks = lambda d, i: d.select(words.alias("toks"), *[(F.col(key) if i == j else F.lit(None)).cast(d.schema[key].dataType).alias(f"id_{j}") for j in (1, 2)]).where("size(toks) > 0")
+    sets = toks(a, 1).unionByName(toks(b, 2)).groupBy("toks").agg(F.collect_list("id_1").alias("ids_1"), F.collect_list("id_2").alias("ids_2"))
+    sets = scratch.keep(sets.withColumn("sid", F.monotonically_increasing_id()))
+    each = sets.select("sid", (F.size("ids_1") > 0).alias("in_1"), (F.size("ids_2") > 0).alias("in_2"), F.explode("toks").alias("tok"))
+    df = small(each.groupBy("tok").agg(F.count("*").alias("df")))
+    ordered = each.join(df, "tok").groupBy("sid").agg(F.first("in_1").alias("in_1"), F.first("in_2").alias("in_2"), F.array_sort(F.collect_list(F.struct("df", "tok")))["tok"].alias("toks"))
+    ordered = scratch.keep(ordered.withColumn("n", F.size("toks")))
+    t, most = min_jaccard, ordered.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
+    head = F.expr(f"slice(toks, 1, cast(n - ceil({t} * n) + 1 AS INT))")
+    one = lambda i: ordered.where(f"in_{i}").select(F.posexplode(head).alias(f"at_{i}", "tok"), F.col("sid").alias(f"sid_{i}"), F.col("n").alias(f"n_{i}"), F.col("toks").alias(f"t{i}"))
+    sizes = F.expr(f"sequence(cast(ceil({t} * n_1 - 1e-9D) AS INT), cast({f'least({most}, floor(n_1 / {t} + 1e-9D))' if t > 0 else most} AS INT))")
+    left = one(1).withColumn("n_2", F.explode(sizes)).withColumn("o", F.expr(f"greatest(1, cast(ceil({t} * (n_1 + n_2) / (1 + {t}) - 1e-9D) AS INT))"))
+    left = left.where("at_1 + o <= n_1 AND o <= n_2 AND NOT (n_1 = n_2 AND o = n_1)")
+    cand = left.join(one(2), ["tok", "n_2"]).where("at_2 + o <= n_2 AND sid_1 <> sid_2")
+    cand = cand.withColumn("both", F.array_intersect("t1", "t2")).where(F.get("both", F.lit(0)) == F.col("tok"))
+    pairs = cand.select("sid_1", "sid_2", (F.size("both") / (F.col("n_1") + F.col("n_2") - F.size("both"))).alias("score"))
+    pairs = pairs.unionByName(ordered.where("in_1 AND in_2").select(F.col("sid").alias("sid_1"), F.col("sid").alias("sid_2"), F.lit(1.0).alias("score"))).where(F.col("score") >= t)
+    pairs = scratch.keep(pairs.withColumn("score", F.round("score", 6)))
+    for i in (1, 2):
+        pairs = pairs.join(sets.select(F.col("sid").alias(f"sid_{i}"), f"ids_{i}"), f"sid_{i}")
+    return pairs.select("score", "ids_2", F.explode("ids_1").alias("id_1")).select("id_1", F.explode("ids_2").alias("id_2"), "score")

@@ -415,10 +415,14 @@ def er_match_eval(spark, d):
 x AS (SELECT id, list_distinct(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9à-öø-ÿā-ž]+'), lambda w: w <> '')) AS t FROM a), y AS (SELECT id, list_distinct(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9à-öø-ÿā-ž]+'), lambda w: w <> '')) AS t FROM b)
 SELECT x.id AS id_1, y.id AS id_2, MAX(ROUND(len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))), 6)) AS score FROM x, y WHERE len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))) >= 0.8 GROUP BY 1, 2""")
 def er_token_blocking(spark, d):
-    side = lambda n: table(spark, d, n).where("title IS NOT NULL").select(F.concat_ws("\x1f", "id", "title").alias("id"), "title").distinct()
+    from pyspark.sql.window import Window as W
+
+    # Only pairs of an id that has several titles can come twice; all others need no aggregate.
+    many = (F.count("*").over(W.partitionBy("id")) > 1).alias("many")
+    side = lambda n: table(spark, d, n).where("title IS NOT NULL").select("id", "title").distinct().select(F.struct("id", many).alias("id"), "title")
     got = linking.token_blocks(side("book_source"), side("book_target"), "id", "title", min_jaccard=0.8)
-    cut = lambda c: F.substring_index(c, "\x1f", 1)
-    return got.groupBy(cut("id_1").alias("id_1"), cut("id_2").alias("id_2")).agg(F.max("score").alias("score"))
+    out = got.select(F.col("id_1.id").alias("id_1"), F.col("id_2.id").alias("id_2"), "score", (F.col("id_1.many") | F.col("id_2.many")).alias("many"))
+    return out.where("NOT many").drop("many").unionByName(out.where("many").groupBy("id_1", "id_2").agg(F.max("score").alias("score")))
 
 
 @query("SELECT id_type, COUNT(*) AS n FROM (SELECT CASE WHEN id_type = 'str' THEN 'relation' ELSE id_type END AS id_type FROM er_matches UNION ALL SELECT 'entity' FROM verified_matches) GROUP BY id_type")

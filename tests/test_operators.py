@@ -321,3 +321,16 @@ def test_entities_of_one_label_are_counted_not_paired(spark):
     assert (got.tp, got.fp, got.fn) == (n, 0, 0)
     got = reference.entity_alignment(e, one, "type").first()
     assert (got.tp, got.fp, got.fn) == (1, 1, 1)
+
+
+def test_token_blocks_of_repeated_titles(spark, monkeypatch):
+    """Rows with the same tokens are compared once: of 4,000 x 4,000 rows with 40 titles no pair of rows is a candidate."""
+    kept = []
+    keep = linking.Scratch.keep
+    monkeypatch.setattr(linking.Scratch, "keep", lambda self, df: kept.append(keep(self, df)) or kept[-1])
+    titles = [f"the old {x} of {y} and {x}{y} lake number {z}" for x in "abcd" for y in "efghi" for z in "12"]
+    a = spark.range(4000).select("id", F.element_at(F.array(*map(F.lit, titles)), (F.col("id") % 40 + 1).cast("int")).alias("t"))
+    got = linking.token_blocks(a, a.select(F.col("id") + 10_000, F.concat("t", F.lit(" Lake!"))).toDF("id", "t"), "id", "t", min_jaccard=0.8)
+    jac = lambda x, y: len(set(x.split()) & set(y.split())) / len(set(x.split()) | set(y.split()))
+    assert got.count() == 100 * 100 * sum(jac(x, y) >= 0.8 for x in titles for y in titles)
+    assert max(df.count() for df in kept) <= 40 * 40
