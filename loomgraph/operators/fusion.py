@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..model import LABEL, OWL, SAME_AS, TYPE, Ontology, as_graph, is_iri
-from ..session import Scratch, small
+from ..session import BROADCAST_ROWS, Scratch, small
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -25,6 +25,46 @@ def substitute(t: DataFrame, mapping: DataFrame, predicates: bool = False) -> Da
     return as_graph(out.drop("_s", "_o"))
 
 
+def _key_bits(keys: DataFrame, n: int) -> DataFrame:
+    """One row with a bitmap of `n` keys (one column), a Bloom filter: three bits in one of `words` words, 8 to 16 bits a key up to 8 MB."""
+    words = 1 << min(max((n // 8).bit_length(), 12), 20)
+    h = F.xxhash64(F.col(keys.columns[0]))
+    one = keys.groupBy(_word(h, F.lit(words)).alias("w")).agg(F.bit_or(_bits(h)).alias("b"))
+    every = keys.sparkSession.range(words).select(F.col("id").cast("int").alias("w")).join(one, "w", "left")
+    rows = every.agg(F.sort_array(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0)).alias("b")))).alias("r"))
+    return rows.select(F.transform("r", lambda x: x["b"]).alias("bits"), F.lit(words).alias("words"))
+
+
+def _word(h: Column, words: Column) -> Column:
+    return F.pmod(F.shiftright(h, 18), words).cast("int")
+
+
+def _bits(h: Column) -> Column:
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(h, k).bitwiseAND(F.lit(63)).cast("int"))
+    return bit(0).bitwiseOR(bit(6)).bitwiseOR(bit(12))
+
+
+def replaced_terms(t: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(s, p, o) of `t`, subjects and IRI objects replaced by `mapping` (src, dst; every src once); rows can repeat.
+
+    The terms that `substitute` gives. If the mapping is too large to be broadcast, literals and objects without an entry
+    are not joined by object: a bitmap of the sources tells nearly all of them, among them the classes, to each of which
+    a good part of all rows points. The mapping is the hashed side of its joins, so the graph is not sorted.
+    """
+    n = mapping.count()
+    m = small(mapping) if n <= BROADCAST_ROWS else mapping
+    rows = t.select("s", "p", "o", F.coalesce(is_iri(), F.lit(False)).alias("iri"))
+    by = lambda c: m.select(F.col("src").alias(c), F.col("dst").alias("_to"))
+    to = lambda x, c: x.withColumn(c, F.coalesce("_to", c)).select("s", "p", "o")
+    if m is not mapping:
+        return to(to(rows.join(by("k"), F.col("iri") & (F.col("o") == F.col("k")), "left"), "o").join(by("s"), "s", "left"), "s")
+    m, h = m.hint("shuffle_hash"), F.xxhash64("o")
+    hit = F.get("bits", _word(h, F.col("words"))).bitwiseAND(_bits(h)) == _bits(h)
+    rows = rows.crossJoin(F.broadcast(_key_bits(mapping.select("src"), n))).select("s", "p", "o", (F.col("iri") & F.coalesce(hit, F.lit(False))).alias("open"))
+    objects = to(rows.where("open").join(by("o"), "o", "left"), "o").unionByName(rows.where("NOT open").select("s", "p", "o"))
+    return to(objects.join(by("s"), "s", "left"), "s")
+
+
 def oriented(matches: DataFrame, target_prefix: str, threshold: float = 0.5) -> DataFrame:
     """(src, dst) of matches above the threshold, dst being the side in the target namespace."""
     m = matches.where((F.col("score") > threshold) & F.col("id_1").isNotNull() & F.col("id_2").isNotNull())

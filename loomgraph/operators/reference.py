@@ -71,18 +71,31 @@ def triple_alignment(t: DataFrame, ref: DataFrame, seed: DataFrame | None = None
 
 def entity_mapping(t: DataFrame, ref: DataFrame, threshold: float = 0.95, embedder=S.hashed_ngrams) -> DataFrame:
     """(src, dst): entities of the graph and the reference entity with the nearest label above the threshold."""
-    la, lb = TripleFrame(t).first_label(), TripleFrame(ref).first_label()
+    scratch = Scratch(t.sparkSession, "mapping")
+    la, lb = (scratch.keep(TripleFrame(x).first_label()) for x in (t, ref))  # each graph is read once for its labels
     hit = S.best_texts(la.select("label"), lb.select("label"), threshold, False, embedder)
     dst = lb.groupBy("label").agg(F.min("s").alias("dst"))
     to = hit.join(dst.select(F.col("label").alias("ref_text"), "dst"), "ref_text").select(F.col("text").alias("label"), "dst")
-    return Scratch(t.sparkSession, "mapping").keep(la.join(to, "label").select(F.col("s").alias("src"), "dst"))
+    return scratch.keep(la.join(to, "label").select(F.col("s").alias("src"), "dst"))
 
 
 def triple_alignment_soft(t: DataFrame, ref: DataFrame, seed: DataFrame | None = None, threshold: float = 0.95, embedder=S.hashed_ngrams) -> DataFrame:
-    """Strict alignment after entities are replaced by the reference entity with the nearest label."""
-    from .fusion import substitute
+    """Strict alignment after entities are replaced by the reference entity with the nearest label.
+
+    Both sides are grouped by their terms at once, so that repeated rows on either side, also those of `t` and `ref`, count once.
+    """
+    from .fusion import replaced_terms
 
-    return triple_alignment(substitute(t, entity_mapping(t, ref, threshold, embedder)), ref, seed)
+    a, b = TripleFrame(replaced_terms(t, entity_mapping(t, ref, threshold, embedder))), TripleFrame(ref.select("s", "p", "o"))
+    if seed is not None:
+        a, b = a.subtract(TripleFrame(seed)), b.subtract(TripleFrame(seed))
+    rows = a.triples.withColumn("side", F.lit(1)).unionByName(b.triples.withColumn("side", F.lit(2)))
+    # Spread before they are grouped: rows that hardly repeat fill the tables of a partial count and are sorted for nothing.
+    sides = rows.repartition("s", "p", "o").groupBy("s", "p", "o").agg(F.bit_or("side").alias("side"))
+    null = F.col("s").isNull() | F.col("p").isNull() | F.col("o").isNull()
+    both = (F.col("side") == 3) & ~null
+    n = sides.agg(F.count_if(both).alias("tp"), F.count_if((F.col("side") != 2) & ~both).alias("fp"), F.count_if((F.col("side") != 1) & ~both).alias("fn"))
+    return n.select("tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
 def triple_alignment_values(t: DataFrame, ref: DataFrame, threshold: float = 0.95, exclude_type: bool = False, embedder=S.hashed_ngrams) -> DataFrame:

@@ -126,11 +126,13 @@ def best_texts(left: DataFrame, right: DataFrame, threshold: float = 0.95, inclu
             size, zero = np.abs(m), ~m.any(axis=1)
             clear = ~((size > r) & (size < 3 * r)).any(axis=1) & ~zero
             bits = np.packbits(size > 2 * r, axis=1)
-            yield pd.DataFrame({"text": pdf["text"], "sig": [x.tobytes() for x in bits], "vid": [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in m], "clear": clear})
+            yield pdf.assign(sig=[x.tobytes() for x in bits], vid=[hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in m], clear=clear)
 
-    def side(df: DataFrame) -> DataFrame:
-        texts = df.toDF("text").where("text IS NOT NULL").distinct()
-        return scratch.keep(texts.mapInPandas(mark, "text string, sig binary, vid binary, clear boolean"))
+    # A text of both sides is embedded once.
+    side = lambda df, l: df.toDF("text").where("text IS NOT NULL").select("text", F.lit(l).alias("l"), F.lit(not l).alias("r"))
+    texts = side(left, True).unionByName(side(right, False)).groupBy("text").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    texts = scratch.keep(texts.mapInPandas(mark, "text string, l boolean, r boolean, sig binary, vid binary, clear boolean"))
+    a, b = texts.where("l"), texts.where("r")
 
     def same(batches):
         for pdf in batches:
@@ -141,9 +143,9 @@ def best_texts(left: DataFrame, right: DataFrame, threshold: float = 0.95, inclu
                 ok[other] = np.round((x * y).sum(axis=1), digits) >= 1
             yield pdf.loc[ok, ["vid", "ref_text"]]
 
-    a, b = side(left), side(right)
-    known = b.groupBy("sig", "vid").agg(F.min("text").alias("ref_text")).groupBy("sig").agg(F.collect_list(F.struct("vid", "ref_text")).alias("refs")).where(f"size(refs) <= {CROWD}")
-    pairs = a.where("clear").groupBy("sig", "vid").agg(F.min("text").alias("one")).join(known, "sig").select("vid", "one", F.explode("refs").alias("ref"))
+    vectors = lambda df, name: df.repartition("sig").groupBy("sig", "vid").agg(F.min("text").alias(name))
+    known = vectors(b, "ref_text").groupBy("sig").agg(F.collect_list(F.struct("vid", "ref_text")).alias("refs")).where(f"size(refs) <= {CROWD}")
+    pairs = vectors(a.where("clear"), "one").join(known, "sig").select("vid", "one", F.explode("refs").alias("ref"))
     pairs = pairs.select("vid", "one", F.col("ref.vid").alias("ref_vid"), F.col("ref.ref_text").alias("ref_text"))
     top = pairs.mapInPandas(same, "vid binary, ref_text string").groupBy("vid").agg(F.min("ref_text").alias("ref_text"))
     found = scratch.keep(a.join(top, "vid", "left").select("text", "ref_text", F.when(F.col("ref_text").isNotNull(), 1.0).alias("score")))

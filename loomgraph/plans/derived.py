@@ -34,7 +34,12 @@ def ontology(spark: SparkSession) -> Ontology:
 
 
 def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six tables as triples, one scan each, and violations by rule on the keys:
+    """The derived graph as a set."""
+    return as_graph(rows(spark, sf_dir))
+
+
+def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Its triples (s, p, o, k, dt), not yet rid of repeated ones: six tables, one scan each, and violations by rule on the keys:
 
     every 97th customer is a supplier too, every 50th has a second balance, every 41st a balance that is no number; every
     5th nation is pointed at by its region; every 89th order has a date without datatype.
@@ -68,7 +73,7 @@ def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return as_graph(out)
+    return out
 
 
 def _rows(tbl: str, cls: str, key: str, label: str | None, literals: list[tuple[str, str, str]], edges: list[tuple[str, str]], where: str = "TRUE") -> list[str]:

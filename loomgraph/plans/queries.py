@@ -12,7 +12,7 @@ from ..model import LABEL, RDFS, TYPE, XSD, Ontology, TripleFrame, as_graph
 from ..operators import cluster, consistency, construct, fusion, linking, reference, similarity, statistics
 from ..session import table
 from . import bgp, params, report
-from .derived import KG_SQL, NS, ONTO_SQL, RES, TYPES_SQL, graph, ontology
+from .derived import KG_SQL, NS, ONTO_SQL, RES, TYPES_SQL, graph, ontology, rows
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLE: dict[str, str] = {}
@@ -515,16 +515,16 @@ def ref_alignment(spark, d):
     return reference.triple_alignment(_customers(spark, d, _A), _customers(spark, d, _B), _customers(spark, d, "c_nationkey < 5"))
 
 
-def _moved_graphs(spark, d):
+def _moved_graphs(spark, d, triples=graph):
     """The whole derived graph with all its entities under other IRIs, and as it is."""
-    t = graph(spark, d)
+    t = triples(spark, d)
     moved = lambda c: F.when(F.col(c).startswith(RES), F.concat(F.lit(RES + "moved/"), F.substring(c, len(RES) + 1, 1_000_000))).otherwise(F.col(c))
     return t.withColumn("s", moved("s")).withColumn("o", F.when(F.col("k") == "iri", moved("o")).otherwise(F.col("o"))), t
 
 
 @query()
 def ref_alignment_soft(spark, d):
-    moved, t = _moved_graphs(spark, d)
+    moved, t = _moved_graphs(spark, d, rows)  # repeated triples count once there
     return reference.triple_alignment_soft(moved, t)
 
 

@@ -1,5 +1,6 @@
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -334,3 +335,38 @@ def test_token_blocks_of_repeated_titles(spark, monkeypatch):
     jac = lambda x, y: len(set(x.split()) & set(y.split())) / len(set(x.split()) | set(y.split()))
     assert got.count() == 100 * 100 * sum(jac(x, y) >= 0.8 for x in titles for y in titles)
     assert max(df.count() for df in kept) <= 40 * 40
+
+
+def exchanges(plan):
+    """(columns, rows) of every exchange by hash in an executed plan."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return exchanges(plan.executedPlan())
+    if plan.nodeName().endswith("QueryStage"):
+        return exchanges(plan.plan())
+    by = re.match(r"hashpartitioning\((.*), \d+\)", plan.outputPartitioning().toString()) if plan.nodeName() == "Exchange" else None
+    own = [(re.sub(r"#\d+L?", "", by[1]), plan.metrics().apply("shuffleRecordsWritten").value())] if by else []
+    return own + [x for i in range(plan.children().size()) for x in exchanges(plan.children().apply(i))]
+
+
+def test_soft_alignment_does_not_gather_the_rows_of_a_class(spark, monkeypatch):
+    """A class that all entities point to is no key of a join, whatever the size of the mapping; rows that repeat count once."""
+    n = 5000
+    e = lambda name, label: spark.range(n).select(F.explode(F.array(*[F.struct(F.concat(F.lit(name), "id").alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(k).alias("k"), F.lit(None).cast("string").alias("dt")) for p, o, k in ((TYPE, F.lit(N + "A"), "iri"), ("knows", F.concat(F.lit(name), (F.col("id") + 1) % n), "iri"), *label)])).alias("r")).select("r.*")
+    label = F.concat(F.lit("Ring "), F.sha2(F.col("id").cast("string"), 256))
+    a = e("a/", [(LABEL, label, "literal")]).unionByName(e("order/", []))
+    b = e("b/", [(LABEL, label, "literal")]).unionByName(e("order/", []).where("s <> 'order/7'"))
+    odd = spark.createDataFrame([("a/1", "p", "a/2", "literal", None), ("a/1", "p", None, "iri", None), (None, "p", "a/2", None, None)], T5)
+    small = fusion.small
+    for large in (False, True):
+        monkeypatch.setattr(fusion, "small", (lambda m: m) if large else small)
+        broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1" if large else broadcast)
+        try:
+            got = reference.triple_alignment_soft(as_graph(a.unionByName(a).unionByName(odd)), as_graph(b.unionByName(odd)))
+            r = got.collect()[0]
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        assert (r.tp, r.fp, r.fn) == (3 * n + 2 * n - 2, 2 + 3, 3)
+        if large:
+            rows = [k for c, k in exchanges(got._jdf.queryExecution().executedPlan()) if c in ("o", "k")]
+            assert rows and max(rows) < 3 * n
